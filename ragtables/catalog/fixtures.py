@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -169,10 +170,21 @@ VIEWS = {
 _SOURCE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join((*VIEWS, *TABLES)) + r")\b", re.IGNORECASE)
 
 
+_SCHEMAS = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its schema is looked up in the file once and then kept."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(spark, sf_dir, name)
     sql = VIEWS[name].replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)")
     inputs = {source: view(spark, sf_dir, source) for _, source in _SOURCE.findall(sql)}
     return spark.sql(_SOURCE.sub(r"\1 {\2}", sql), **inputs)
@@ -198,6 +210,7 @@ def with_views(sql: str) -> str:
     return f"WITH {heads}\n{body}"
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The audited tables by name."""
-    return {name[2:]: view(spark, sf_dir, name) for name in VIEWS if name.startswith("t_")}
+def tables(spark: SparkSession, sf_dir: str, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The audited tables, or those of the given names."""
+    names = names or [n[2:] for n in VIEWS if n.startswith("t_")]
+    return {n: view(spark, sf_dir, f"t_{n}") for n in dict.fromkeys(names)}

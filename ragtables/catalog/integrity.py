@@ -32,7 +32,7 @@ UNIQUE_SQL = "\nUNION ALL\n".join(
 
 @query("unique_audit", UNIQUE_SQL)
 def unique_audit(spark, sf):
-    return I.unique_audit(tables(spark, sf))
+    return I.unique_audit(tables(spark, sf, [t for t, _ in UNIQUE_KEYS]))
 
 
 VALUE_SQL = "\nUNION ALL\n".join(
@@ -43,7 +43,7 @@ VALUE_SQL = "\nUNION ALL\n".join(
 
 @query("value_audits", VALUE_SQL)
 def value_audits(spark, sf):
-    return I.value_audits(tables(spark, sf))
+    return I.value_audits(tables(spark, sf, [t for t, _, _ in I.VOCABULARIES]))
 
 
 # Organizations of one region go; bots, keys, files, sources and the rest go with them.
@@ -82,7 +82,8 @@ def cascade_delete(spark, sf):
 
     from pyspark.sql import DataFrame
 
-    doomed, kept = I.cascade_delete(tables(spark, sf), _gone(spark, sf))
+    reached = ("organizations", "bots", *ORG_ONLY, *ORG_AND_BOT)
+    doomed, kept = I.cascade_delete(tables(spark, sf, reached), _gone(spark, sf))
     return reduce(DataFrame.unionByName, [
         kept[t].agg(F.count("*").alias("n_left")).select(F.lit(t).alias("table_name"), "n_left") for t in doomed])
 
@@ -97,6 +98,7 @@ def cascade_delete(spark, sf):
     FROM t_leads WHERE organization_id NOT IN (SELECT id FROM gone)""")
 def set_null_delete(spark, sf):
     """Leads after the same removal: those of removed organizations are gone, other references are emptied."""
-    leads = I.delete_rows(tables(spark, sf), _gone(spark, sf))["leads"]
+    reached = ("organizations", "bots", "api_keys", "conversations_meta", "leads")
+    leads = I.delete_rows(tables(spark, sf, reached), _gone(spark, sf))["leads"]
     return leads.select("id", "organization_id", F.coalesce("bot_id", F.lit(-1)).alias("bot_id"),
                         F.coalesce("conversation_id", F.lit(-1)).alias("conversation_id"))

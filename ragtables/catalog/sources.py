@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ragtables.catalog import query
 from ragtables.catalog.fixtures import view
+from ragtables.catalog.text import FULL_SQL, MAIN_SQL, clean_sql
+from ragtables.functions.text import clean_text
 from ragtables.operators.chunking import chunk_documents
+from ragtables.operators.long_files import chunk_parts
 from ragtables.operators.training import chunk_provenance
-from ragtables.functions.text import clean_text
 from ragtables.session import scratch_path, spread
 from ragtables.sources import files as S
 from ragtables.sources.pages import judge_pages
@@ -61,6 +63,22 @@ def merge_parts(spark, sf):
         "file_id", "block_no", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
+def _cleaned_parts(spark, sf):
+    return _parts(spark, sf).withColumn("text", clean_text(F.col("text"))).filter(F.length("text") > 0)
+
+
+@query("chunk_parts")
+def chunk_file_parts(spark, sf):
+    """Conversations as files of one part per turn, joined and chunked whole."""
+    return chunk_parts(_cleaned_parts(spark, sf))
+
+
+@query("chunk_long_files")
+def chunk_long_files(spark, sf):
+    """The same in slices, the form for files that are too long to be joined, forced by a bound of zero."""
+    return chunk_parts(_cleaned_parts(spark, sf), max_whole_chars=0, slices=8)
+
+
 @query("read_page_parts", """
     SELECT conv_id AS file_id, turn AS part_no, length(text) AS n_chars FROM conversations WHERE text <> ''""")
 def read_page_parts(spark, sf):
@@ -151,18 +169,31 @@ def write_embeddings(spark, sf):
     return spark.read.parquet(path).select("document_id", F.size("embedding").alias("dimensions"))
 
 
-@query("ingest_union")
+@query("ingest_union", f"""
+    SELECT 'p' || CAST(page_id AS STRING) AS source_id, 'url' AS type,
+           CASE WHEN status_code >= 400 THEN 'Failed to fetch URL (status=' || CAST(status_code AS STRING) || ')'
+                WHEN content_type <> '' AND content_type NOT LIKE '%html%'
+                    THEN 'Unsupported content-type: ' || content_type
+                WHEN length(m) < 200 AND length(f) < 200
+                    THEN 'Page content too short after fallback extraction/cleaning' ELSE '' END AS error_message,
+           CASE WHEN status_code >= 400 OR (content_type <> '' AND content_type NOT LIKE '%html%') THEN 0
+                WHEN length(m) >= 200 THEN length(m) WHEN length(f) >= 200 THEN length(f) ELSE 0 END AS n_chars
+    FROM (SELECT *, {clean_sql(MAIN_SQL)} AS m, {clean_sql(FULL_SQL)} AS f FROM v_fetched_pages) x
+    UNION ALL
+    SELECT 'd' || CAST(doc_id AS STRING), 'file', CASE WHEN length(t) < 50
+               THEN 'File content too short after loading the data from file' ELSE '' END, length(t)
+    FROM (SELECT doc_id, {clean_sql("replace(text, '. ', '.' || chr(10) || chr(10))")} AS t FROM documents) y""")
 def ingest_union(spark, sf):
-    """Sources of all pages and all documents, by both branches, to the text or the error of each."""
+    """Sources of all pages and all documents, by both branches, to the length or the error of each."""
     from ragtables.plans.ingest import ingest_union as texts
 
-    return texts(*_corpus(spark, sf)).select(
+    return texts(*_corpus(spark, sf)).sources.select(
         "source_id", "type", F.coalesce("error_message", F.lit("")).alias("error_message"),
-        F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+        F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
 
 def _corpus(spark, sf):
-    """Pages as URL sources, documents as file sources with a file record and a stored object each."""
+    """Pages as URL sources, documents as file sources with a file record, a stored object and a part per sentence."""
     pages, documents = view(spark, sf, "v_fetched_pages"), view(spark, sf, "documents")
     urls = pages.select(F.concat(F.lit("p"), "page_id").alias("source_id"), (F.col("page_id") % 10).alias("bot_id"),
                         F.lit("org").alias("organization_id"), F.lit("url").alias("type"),
@@ -174,9 +205,9 @@ def _corpus(spark, sf):
     files = documents.select(F.col("doc_id").alias("file_id"), F.lit("bot-files").alias("bucket"), path.alias("path"),
                              F.concat("source", F.lit(".txt")).alias("original_filename"),
                              F.lit(None).cast("string").alias("mime_type"))
-    texts = spread(documents.select(F.col("doc_id").alias("file_id"), "text"), "file_id").select(
-        "file_id", clean_text(F.col("text")).alias("text"))
-    return urls.unionByName(others), pages, files, files.select("bucket", "path"), texts
+    sentences = F.posexplode(F.split("text", r"(?<=[.]) "))
+    parts = spread(documents, "doc_id").select(F.col("doc_id").alias("file_id"), sentences.alias("part_no", "text"))
+    return urls.unionByName(others), pages, files, files.select("bucket", "path"), parts
 
 
 @query("ingest")

@@ -12,7 +12,7 @@ from ragtables.operators import html_text as H
 from ragtables.operators.chunking import chunk_documents as chunk
 from ragtables.operators.embedding import embed, embed_chunks, embed_queries
 from ragtables.operators.training import chunk_provenance as provenance
-from ragtables.session import spread
+from ragtables.session import materialize, spread
 
 WS = "".join(f"chr({ord(c)})||" for c in X.WHITESPACE)[:-2]
 
@@ -62,7 +62,8 @@ def clean_dirty_text(spark, sf):
 @query("count_tokens", r"""
     SELECT doc_id, len(regexp_extract_all(text, '\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+')) AS n_tokens FROM documents""")
 def count_tokens(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", X.count_tokens(F.col("text")).alias("n_tokens"))
+    documents = spread(view(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select("doc_id", X.count_tokens(F.col("text")).alias("n_tokens"))
 
 
 try:
@@ -205,10 +206,10 @@ def retrieve_passages(spark, sf):
     """Questions of users against the chunks of all documents, from text to ranked passages."""
     from ragtables.plans.retrieval import retrieve_passages as passages
 
-    chunks = provenance(_chunks(spark, sf).withColumnRenamed("doc_id", "source_id").drop("start"))
+    chunks = materialize(provenance(_chunks(spark, sf).withColumnRenamed("doc_id", "source_id").drop("start")), "chunks")
     chunks = (chunks.withColumn("bot_id", (F.col("source_id") % 10).cast("int"))
               .withColumn("deleted_at", F.lit(None).cast("timestamp")).withColumn("is_active", F.lit(True)))
-    vectors = embed(chunks.select("document_id", "content"), "content", "embedding")
+    vectors = embed(chunks.select("document_id", "content"), "content", "embedding").select("document_id", "embedding")
     users = view(spark, sf, "v_messages").filter("role = 'user'")
     queries = users.select(F.col("message_id").alias("query_id"), F.col("content").alias("query"),
                            (F.col("conversation_id") % 10).cast("int").alias("bot_id"))

@@ -78,7 +78,8 @@ def source_completeness(spark, sf):
     FROM documents""")
 def min_length_gate(spark, sf):
     kind = F.when(F.col("doc_id") % 2 == 0, "url").otherwise("file")
-    gate = B.min_length_gate(view(spark, sf, "documents").withColumn("type", kind))
+    gate = B.min_length_gate(view(spark, sf, "documents").select(
+        "doc_id", kind.alias("type"), F.length("text").alias("n_chars")))
     return gate.select("doc_id", F.coalesce("error_message", F.lit("")).alias("error_message"))
 
 

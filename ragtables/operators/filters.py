@@ -51,10 +51,10 @@ def source_errors(sources: DataFrame) -> DataFrame:
     return sources.withColumn("error_message", message)
 
 
-def min_length_gate(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``error_message`` for cleaned texts that are too short for their type of source."""
+def min_length_gate(texts: DataFrame, n_chars: str = "n_chars") -> DataFrame:
+    """Add ``error_message`` where the cleaned text is too short for its type of source."""
     url = is_url(F.col("type"))
-    short = F.coalesce(F.length(text), F.lit(0)) < F.when(url, MIN_URL_CHARS).otherwise(MIN_FILE_CHARS)
+    short = F.coalesce(F.col(n_chars), F.lit(0)) < F.when(url, MIN_URL_CHARS).otherwise(MIN_FILE_CHARS)
     return texts.withColumn(
         "error_message", F.when(short, F.when(url, ERR_PAGE_SHORT).otherwise(ERR_FILE_SHORT)))
 

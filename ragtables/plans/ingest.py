@@ -1,7 +1,8 @@
 """Ingestion: from training sources to chunks and vectors.
 
-sources -> checks -> (pages: extract, clean | files: look up, read, merge, clean) -> length gate -> chunks -> vectors.
-A source that fails carries its message along and never stops the others.
+sources -> checks -> (pages: extract, clean | files: look up, read, clean) -> length gate -> chunks -> vectors.
+A source that fails carries its message along and never stops the others. Texts are kept apart from the rows about
+sources, so that checks and results never move text.
 """
 
 from __future__ import annotations
@@ -12,16 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragtables.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, ERR_FILE_MISSING, ERR_PAGE_FETCH, ERR_PAGE_SHORT
+from ragtables.functions.text import clean_text
 from ragtables.operators.chunking import chunk_documents
 from ragtables.operators.embedding import Embedder, embed_chunks
 from ragtables.operators.filters import is_url, min_length_gate, source_errors
 from ragtables.operators.html_text import extract_text, page_text_with_fallback
+from ragtables.operators.long_files import chunk_parts
 from ragtables.operators.training import chunk_provenance, dedupe_chunk_inserts, source_file_lookup
 from ragtables.session import materialize, spread
 from ragtables.sources.files import route_files
 from ragtables.sources.pages import judge_pages
 
-TEXT_COLUMNS = ("source_id", "bot_id", "organization_id", "type", "text", "error_message")
+SOURCE_COLUMNS = ("source_id", "bot_id", "organization_id", "type", "n_chars", "error_message")
+
+
+class Texts(NamedTuple):
+    """Rows about sources with length and error, cleaned page texts by source, cleaned file parts by source."""
+
+    sources: DataFrame
+    pages: DataFrame
+    parts: DataFrame
 
 
 class Ingested(NamedTuple):
@@ -32,50 +43,76 @@ class Ingested(NamedTuple):
     results: DataFrame
 
 
-def url_texts(sources: DataFrame, pages: DataFrame) -> DataFrame:
-    """Text or error of URL sources. Only landed pages that a source asks for are parsed, each once."""
-    wanted = sources.select(F.col("source_value").alias("url")).distinct()
-    judged = judge_pages(pages.join(wanted, "url", "left_semi"))
-    texts = page_text_with_fallback(extract_text(spread(judged, "url")))
-    page = texts.groupBy("url").agg(F.min_by(F.struct("text", "reason", "method"), "page_id").alias("p"))
-    found = sources.join(page, sources["source_value"] == page["url"], "left")
+def url_sources(sources: DataFrame, page_texts: DataFrame) -> DataFrame:
+    """URL sources with ``n_chars``, ``error_message`` and the page that serves them."""
+    page = page_texts.select(F.col("url").alias("source_value"), F.length("text").alias("n_chars"), "reason", "method",
+                             "page_id")
+    found = sources.join(page, "source_value", "left")
     error = (F.when(F.col("error_message").isNotNull(), F.col("error_message"))
-             .when(F.col("url").isNull(), F.lit(ERR_PAGE_FETCH))
-             .when(F.col("p.reason").isNotNull(), F.col("p.reason"))
-             .when(F.col("p.method") == "none", F.lit(ERR_PAGE_SHORT)))
-    return (found.withColumn("text", F.col("p.text")).withColumn("error_message", error)
-            .select(*TEXT_COLUMNS))
+             .when(F.col("method").isNull(), F.coalesce("reason", F.lit(ERR_PAGE_FETCH)))
+             .when(F.col("method") == "none", F.lit(ERR_PAGE_SHORT)))
+    return found.withColumn("error_message", error)
+
 
+def landed_page_texts(sources: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, page_id, reason, text, method) of the landed pages that sources ask for, one per URL.
 
-def file_texts(sources: DataFrame, files: DataFrame, objects: DataFrame, documents: DataFrame) -> DataFrame:
-    """Text or error of file sources; ``documents(file_id, text)`` holds cleaned texts of the files."""
+    Which page serves a URL is settled on narrow rows, before any HTML is read; admitted pages come first.
+    """
+    wanted = sources.select(F.col("source_value").alias("url")).distinct()
+    judged = judge_pages(pages)
+    first = F.min(F.struct(F.col("reason").isNotNull().alias("rejected"), "page_id", "reason")).alias("p")
+    chosen = (judged.join(wanted, "url", "left_semi").groupBy("url").agg(first)
+              .select("url", "p.page_id", "p.reason"))
+    html = spread(judged.filter(F.col("reason").isNull()).select("page_id", "html"), "page_id")
+    admitted = html.join(chosen.filter(F.col("reason").isNull()).select("page_id"), "page_id", "left_semi")
+    texts = page_text_with_fallback(extract_text(admitted)).select("page_id", "text", "method")
+    return chosen.join(texts, "page_id", "left")
+
+
+def file_sources(sources: DataFrame, files: DataFrame, objects: DataFrame, lengths: DataFrame) -> DataFrame:
+    """File sources with ``n_chars``, ``error_message`` and ``file_id``; ``lengths`` is (file_id, n_chars)."""
     found = route_files(source_file_lookup(sources, files))
     stored = objects.select("bucket", "path").distinct().withColumn("stored", F.lit(True))
-    texts = found.join(stored, ["bucket", "path"], "left").join(documents, "file_id", "left")
-    gate = min_length_gate(texts.withColumn("_earlier", F.col("error_message")))
+    sized = found.join(stored, ["bucket", "path"], "left").join(lengths, "file_id", "left")
+    gate = min_length_gate(sized.withColumn("_earlier", F.col("error_message")))
     error = F.coalesce("_earlier", "lookup_error", F.when(F.col("stored").isNull(), F.lit(ERR_FILE_MISSING)),
                        "reason", "error_message")
-    return gate.withColumn("error_message", error).select(*TEXT_COLUMNS)
+    return gate.withColumn("error_message", error)
 
 
 def ingest_union(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: DataFrame,
-                 documents: DataFrame) -> DataFrame:
-    """Both branches in one table, so that chunking and embedding run once for all."""
-    checked = source_errors(sources)
-    urls = url_texts(checked.filter(is_url(F.col("type"))), pages)
-    others = file_texts(checked.filter(~is_url(F.col("type"))), files, objects, documents)
-    return urls.unionByName(others)
+                 parts: DataFrame) -> Texts:
+    """Both kinds of sources to texts. ``parts(file_id, part_no, text)`` holds the files as read, part by part.
 
-
-def ingest(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: DataFrame, documents: DataFrame,
+    Cleaned texts are written to the shared folder, as both the length gate and the chunks need them.
+    """
+    checked = source_errors(sources)
+    urls, others = checked.filter(is_url(F.col("type"))), checked.filter(~is_url(F.col("type")))
+    page_texts = materialize(landed_page_texts(urls, pages), "pages")
+    cleaned = parts.withColumn("text", clean_text(F.col("text"))).filter(F.length("text") > 0)
+    file_parts = materialize(cleaned, "parts")
+    # A blank line lies between parts, so a file is two characters longer per part after the first.
+    lengths = file_parts.groupBy("file_id").agg((F.sum(F.length("text") + 2) - 2).cast("int").alias("n_chars"))
+    url_rows, file_rows = url_sources(urls, page_texts), file_sources(others, files, objects, lengths)
+    good_pages = url_rows.filter(F.col("error_message").isNull()).select("source_id", "page_id")
+    good_files = file_rows.filter(F.col("error_message").isNull()).select("source_id", "file_id")
+    return Texts(
+        url_rows.select(*SOURCE_COLUMNS).unionByName(file_rows.select(*SOURCE_COLUMNS)),
+        page_texts.select("page_id", "text").join(good_pages, "page_id").select("source_id", "text"),
+        file_parts.join(good_files, "file_id").select(F.col("source_id").alias("file_id"), "part_no", "text"))
+
+
+def ingest(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: DataFrame, parts: DataFrame,
            stored_chunks: DataFrame, stored_vectors: DataFrame, chunk_size: int = CHUNK_SIZE,
            chunk_overlap: int = CHUNK_OVERLAP, dimensions: int = 1536, embedder: Embedder | None = None) -> Ingested:
-    """One batch. The extracted texts are written to the shared folder, as both the chunks and the results need them;
-    chunks and vectors that are stored already are not made again."""
-    texts = materialize(ingest_union(sources, pages, files, objects, documents), "texts")
-    good = texts.filter(F.col("error_message").isNull()).drop("error_message", "type")
-    chunks = chunk_provenance(chunk_documents(good, "text", chunk_size, chunk_overlap).drop("start"),
-                              chunk_size, chunk_overlap)
+    """One batch; chunks and vectors that are stored already are not made again."""
+    texts = ingest_union(sources, pages, files, objects, parts)
+    of_pages = chunk_documents(texts.pages, "text", chunk_size, chunk_overlap).drop("start")
+    of_files = chunk_parts(texts.parts, chunk_size, chunk_overlap).select(
+        F.col("file_id").alias("source_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content")
+    tenants = texts.sources.select("source_id", "bot_id", "organization_id")
+    chunks = chunk_provenance(of_pages.unionByName(of_files).join(tenants, "source_id"), chunk_size, chunk_overlap)
     fresh = materialize(dedupe_chunk_inserts(chunks, stored_chunks), "chunks")
     vectors = embed_chunks(fresh, stored_vectors, dimensions, embedder)
-    return Ingested(fresh, vectors, texts.select("source_id", "error_message"))
+    return Ingested(fresh, vectors, texts.sources.select("source_id", "error_message"))

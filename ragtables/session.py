@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app_name: str = "ragtables", **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Plans are built from many small expressions; recording a call site for each takes longer than the rest.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Cells hold whole pages and documents, so Arrow batches are bounded by bytes as well as by rows.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
@@ -49,7 +51,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks when the scan has fewer splits than cores; a no-op on big inputs."""
+    """Give CPU-heavy per-row work enough tasks when a scan has fewer splits than cores; a no-op on big inputs.
+
+    For scans and projections of scans only: asking a plan with shuffles for its partitions would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
