@@ -12,13 +12,15 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtables.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, ERR_FILE_MISSING, ERR_PAGE_FETCH, ERR_PAGE_SHORT
+from ragtables.fixed_values import (
+    CHUNK_OVERLAP, CHUNK_SIZE, EMBEDDING_DIMENSIONS, ERR_FILE_MISSING, ERR_PAGE_FETCH, ERR_PAGE_SHORT,
+)
 from ragtables.functions.text import clean_text
 from ragtables.operators.chunking import chunk_documents
 from ragtables.operators.embedding import Embedder, embed_chunks
 from ragtables.operators.filters import is_url, min_length_gate, source_errors
 from ragtables.operators.html_text import extract_text, page_text_with_fallback
-from ragtables.operators.long_files import chunk_parts
+from ragtables.operators.long_files import MAX_WHOLE_CHARS, chunk_parts
 from ragtables.operators.training import chunk_provenance, dedupe_chunk_inserts, source_file_lookup
 from ragtables.session import materialize, spread
 from ragtables.sources.files import route_files
@@ -105,11 +107,12 @@ def ingest_union(sources: DataFrame, pages: DataFrame, files: DataFrame, objects
 
 def ingest(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: DataFrame, parts: DataFrame,
            stored_chunks: DataFrame, stored_vectors: DataFrame, chunk_size: int = CHUNK_SIZE,
-           chunk_overlap: int = CHUNK_OVERLAP, dimensions: int = 1536, embedder: Embedder | None = None) -> Ingested:
+           chunk_overlap: int = CHUNK_OVERLAP, dimensions: int = EMBEDDING_DIMENSIONS,
+           embedder: Embedder | None = None, max_whole_chars: int = MAX_WHOLE_CHARS) -> Ingested:
     """One batch; chunks and vectors that are stored already are not made again."""
     texts = ingest_union(sources, pages, files, objects, parts)
     of_pages = chunk_documents(texts.pages, "text", chunk_size, chunk_overlap).drop("start")
-    of_files = chunk_parts(texts.parts, chunk_size, chunk_overlap).select(
+    of_files = chunk_parts(texts.parts, chunk_size, chunk_overlap, max_whole_chars).select(
         F.col("file_id").alias("source_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content")
     tenants = texts.sources.select("source_id", "bot_id", "organization_id")
     chunks = chunk_provenance(of_pages.unionByName(of_files).join(tenants, "source_id"), chunk_size, chunk_overlap)
