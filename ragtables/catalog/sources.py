@@ -11,7 +11,7 @@ from ragtables.functions.text import clean_text
 from ragtables.operators.chunking import chunk_documents
 from ragtables.operators.long_files import chunk_parts
 from ragtables.operators.training import chunk_provenance
-from ragtables.session import scratch_path, spread
+from ragtables.session import materialize, scratch_path, spread
 from ragtables.sources import files as S
 from ragtables.sources.pages import judge_pages
 from ragtables.sources.tables import scan
@@ -64,7 +64,7 @@ def merge_parts(spark, sf):
 
 
 def _cleaned_parts(spark, sf):
-    return _parts(spark, sf).withColumn("text", clean_text(F.col("text"))).filter(F.length("text") > 0)
+    return materialize(_parts(spark, sf).withColumn("text", clean_text(F.col("text"))), "parts").filter("text <> ''")
 
 
 @query("chunk_parts")

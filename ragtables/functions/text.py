@@ -71,17 +71,26 @@ def drop_noise_lines(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def clean_text(text: Column, unicode_normal_form: bool = True) -> Column:
+def normal_form(text: Column) -> Column:
+    """First half of the cleaning, the one that may have to call Python."""
+    return nfkc(drop_nul(text))
+
+
+def tidy(text: Column) -> Column:
+    """Second half, on the JVM. Lines are stripped when noise is dropped, and blank lines are pooled after that, so
+    neither is done before."""
+    for step in (unify_newlines, drop_zero_width, collapse_blanks, drop_noise_lines, collapse_newlines, strip):
+        text = step(text)
+    return text
+
+
+def clean_text(text: Column) -> Column:
     """Normalise scraped or uploaded text for chunking.
 
-    Lines are stripped when noise is dropped, and blank lines are pooled after that, so neither is done before.
+    Do not filter on the result in the same plan: the filter would be pushed below the projection and run the whole
+    cleaning once more. Write the cleaned texts first, or filter on a column of a later step.
     """
-    out = drop_nul(text)
-    if unicode_normal_form:
-        out = nfkc(out)
-    for step in (unify_newlines, drop_zero_width, collapse_blanks, drop_noise_lines, collapse_newlines, strip):
-        out = step(out)
-    return out
+    return tidy(normal_form(text))
 
 
 def count_tokens(text: Column) -> Column:

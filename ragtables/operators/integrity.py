@@ -15,6 +15,7 @@ from ragtables.fixed_values import (
     FEEDBACK_VALUES, FILE_STATUSES, JOB_STATUSES, OTP_PURPOSES, OTP_TYPES, SOURCE_STATUSES,
 )
 from ragtables.schemas import REFERENCES, UNIQUE_KEYS, Reference
+from ragtables.session import materialize
 
 # Columns with an enumerated vocabulary.
 VOCABULARIES = (
@@ -79,7 +80,8 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame],
     """Rows that go with the deleted ids along cascading references, and the tables without them.
 
     ``deleted`` maps tables to the ids removed there. The depth of references is fixed by the schema, so this is a
-    fixed chain of semi joins, parents first. Returns (doomed ids, surviving rows) by table.
+    fixed chain of semi joins, parents first. The doomed ids of a table that others refer to are written once and
+    read by each of them. Returns (doomed ids, surviving rows) by table.
     """
     cascades = [r for r in references if r.on_delete == "cascade" and r.child in tables and r.parent in tables]
     doomed = {t: ids.select("id") for t, ids in deleted.items()}
@@ -92,7 +94,9 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame],
             hits = [tables[table].join(doomed[r.parent].withColumnRenamed("id", r.column), r.column, "left_semi")
                     .select("id") for r in cascades if r.child == table and r.parent in doomed]
             if hits:
-                doomed[table] = _union(hits + ([doomed[table]] if table in doomed else [])).distinct()
+                ids = _union(hits + ([doomed[table]] if table in doomed else [])).distinct()
+                is_parent = any(r.parent == table for r in references)
+                doomed[table] = materialize(ids, f"doomed-{table}") if is_parent else ids
         pending = [t for t in pending if t not in ready]
     kept = {t: df.join(doomed[t], "id", "left_anti") if t in doomed else df for t, df in tables.items()}
     return doomed, kept

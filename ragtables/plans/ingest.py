@@ -87,20 +87,23 @@ def ingest_union(sources: DataFrame, pages: DataFrame, files: DataFrame, objects
                  parts: DataFrame) -> Texts:
     """Both kinds of sources to texts. ``parts(file_id, part_no, text)`` holds the files as read, part by part.
 
-    Cleaned texts are written to the shared folder, as both the length gate and the chunks need them.
+    Cleaned texts, and the rows about sources, are written to the shared folder, as several steps need them.
     """
     checked = source_errors(sources)
     urls, others = checked.filter(is_url(F.col("type"))), checked.filter(~is_url(F.col("type")))
     page_texts = materialize(landed_page_texts(urls, pages), "pages")
-    cleaned = parts.withColumn("text", clean_text(F.col("text"))).filter(F.length("text") > 0)
-    file_parts = materialize(cleaned, "parts")
+    # Filtered after the write: a filter on the cleaned text would be pushed below it and clean every part twice.
+    file_parts = materialize(parts.withColumn("text", clean_text(F.col("text"))), "parts").filter(F.col("text") != "")
     # A blank line lies between parts, so a file is two characters longer per part after the first.
     lengths = file_parts.groupBy("file_id").agg((F.sum(F.length("text") + 2) - 2).cast("int").alias("n_chars"))
     url_rows, file_rows = url_sources(urls, page_texts), file_sources(others, files, objects, lengths)
-    good_pages = url_rows.filter(F.col("error_message").isNull()).select("source_id", "page_id")
-    good_files = file_rows.filter(F.col("error_message").isNull()).select("source_id", "file_id")
+    rows = materialize(url_rows.select(*SOURCE_COLUMNS, "page_id").unionByName(
+        file_rows.select(*SOURCE_COLUMNS, "file_id"), allowMissingColumns=True), "sources")
+    good = rows.filter(F.col("error_message").isNull())
+    good_pages = good.filter(F.col("page_id").isNotNull()).select("source_id", "page_id")
+    good_files = good.filter(F.col("file_id").isNotNull()).select("source_id", "file_id")
     return Texts(
-        url_rows.select(*SOURCE_COLUMNS).unionByName(file_rows.select(*SOURCE_COLUMNS)),
+        rows.select(*SOURCE_COLUMNS),
         page_texts.select("page_id", "text").join(good_pages, "page_id").select("source_id", "text"),
         file_parts.join(good_files, "file_id").select(F.col("source_id").alias("file_id"), "part_no", "text"))
 
