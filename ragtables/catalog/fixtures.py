@@ -205,8 +205,9 @@ def with_views(sql: str) -> str:
         return sql.strip()
     heads = ",\n".join(f"{name} AS ({body})" for name, body in views.items())
     body = sql.strip()
-    if body[:4].upper() == "WITH":
-        return f"WITH {heads},\n{body[4:].lstrip()}"
+    for start in ("WITH RECURSIVE", "WITH"):
+        if body.startswith(start):
+            return f"{start} {heads},\n{body[len(start):].lstrip()}"
     return f"WITH {heads}\n{body}"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ragtables.catalog import query
 from ragtables.catalog.fixtures import view
-from ragtables.functions.vectors import cosine_similarity
+from ragtables.functions.vectors import cosine_distance, cosine_similarity
 from ragtables.operators import retrieval as R
 
 # The test vectors are random, so the default distance of 0.5 keeps little beside each vector itself.
@@ -89,20 +89,28 @@ def distance_threshold(spark, sf):
                                         F.round(F.min("distance"), 6).alias("nearest"))
 
 
-@query("cosine_similarity", """
-    SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)
-               AS similarity,
-           round(list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance
-    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def _neighbours(spark, sf):
+    """Each vector beside the next one."""
+    a = view(spark, sf, "embeddings")
+    return a.join(a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+
+
+def neighbour_sql(function):
+    return f"""
+    SELECT a.vec_id, round({function}(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS value
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
+
+@query("cosine_similarity", neighbour_sql("list_cosine_similarity"))
 def similarity(spark, sf):
-    """Each vector against the next one."""
-    from ragtables.functions.vectors import cosine_distance
+    value = F.round(cosine_similarity(F.col("embedding"), F.col("next")), 6)
+    return _neighbours(spark, sf).select("vec_id", value.alias("value"))
 
-    a = view(spark, sf, "embeddings")
-    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
-    pair = (F.col("embedding"), F.col("next"))
-    return a.join(b, "vec_id").select("vec_id", F.round(cosine_similarity(*pair), 6).alias("similarity"),
-                                      F.round(cosine_distance(*pair), 6).alias("distance"))
+
+@query("cosine_distance", neighbour_sql("list_cosine_distance"))
+def distance(spark, sf):
+    value = F.round(cosine_distance(F.col("embedding"), F.col("next")), 6)
+    return _neighbours(spark, sf).select("vec_id", value.alias("value"))
 
 
 @query("retrieve_one", f"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragtables.catalog import query
+from ragtables.catalog.chunk_sql import chunk_sql
 from ragtables.catalog.fixtures import view
-from ragtables.catalog.text import FULL_SQL, MAIN_SQL, clean_sql
+from ragtables.catalog.text import CHUNKED, FULL_SQL, MAIN_SQL, clean_sql
 from ragtables.functions.text import clean_text
 from ragtables.operators.chunking import chunk_documents
 from ragtables.operators.long_files import chunk_parts
@@ -67,13 +68,18 @@ def _cleaned_parts(spark, sf):
     return materialize(_parts(spark, sf).withColumn("text", clean_text(F.col("text"))), "parts").filter("text <> ''")
 
 
-@query("chunk_parts")
+PARTS_CHUNKED = f"""
+    WITH RECURSIVE {chunk_sql(f"SELECT file_id AS doc, {clean_sql('text')} AS text FROM ({MERGED}) m")}
+    SELECT doc AS file_id, chunk_index, content FROM chunks"""
+
+
+@query("chunk_parts", PARTS_CHUNKED)
 def chunk_file_parts(spark, sf):
     """Conversations as files of one part per turn, joined and chunked whole."""
     return chunk_parts(_cleaned_parts(spark, sf))
 
 
-@query("chunk_long_files")
+@query("chunk_long_files", PARTS_CHUNKED)
 def chunk_long_files(spark, sf):
     """The same in slices, the form for files that are too long to be joined, forced by a bound of zero."""
     return chunk_parts(_cleaned_parts(spark, sf), max_whole_chars=0, slices=8)
@@ -145,7 +151,11 @@ def _new_chunks(spark, sf):
     return chunk_provenance(chunk_documents(cleaned).drop("start"))
 
 
-@query("write_chunks")
+@query("write_chunks", f"""
+    {CHUNKED}
+    SELECT CAST(doc % 10 AS INT) AS bot_id, false AS is_active, 'v.1.0.0' AS embedding_version, count(*) AS n_chunks,
+           count(DISTINCT doc) AS n_sources, CAST(sum(length(content)) AS BIGINT) AS n_chars
+    FROM chunks GROUP BY doc % 10""")
 def write_chunks(spark, sf):
     """Chunks of all documents written in folders per bot and read back."""
     from ragtables.sources.sinks import write_chunks as write
@@ -158,7 +168,9 @@ def write_chunks(spark, sf):
         F.sum(F.length("content")).alias("n_chars"))
 
 
-@query("write_embeddings")
+@query("write_embeddings", """
+    SELECT document_id, 1536 AS dimensions FROM v_chunks c WHERE NOT EXISTS
+        (SELECT 1 FROM v_embeddings e WHERE e.document_id = c.document_id AND e.deleted_at IS NULL)""")
 def write_embeddings(spark, sf):
     """Vectors of the chunks that lack one, appended to a table and read back."""
     from ragtables.operators.embedding import embed_chunks
@@ -169,20 +181,24 @@ def write_embeddings(spark, sf):
     return spark.read.parquet(path).select("document_id", F.size("embedding").alias("dimensions"))
 
 
-@query("ingest_union", f"""
+# Text or error of every source of _corpus.
+SOURCE_TEXTS = f"""
     SELECT 'p' || CAST(page_id AS STRING) AS source_id, 'url' AS type,
            CASE WHEN status_code >= 400 THEN 'Failed to fetch URL (status=' || CAST(status_code AS STRING) || ')'
                 WHEN content_type <> '' AND content_type NOT LIKE '%html%'
                     THEN 'Unsupported content-type: ' || content_type
                 WHEN length(m) < 200 AND length(f) < 200
                     THEN 'Page content too short after fallback extraction/cleaning' ELSE '' END AS error_message,
-           CASE WHEN status_code >= 400 OR (content_type <> '' AND content_type NOT LIKE '%html%') THEN 0
-                WHEN length(m) >= 200 THEN length(m) WHEN length(f) >= 200 THEN length(f) ELSE 0 END AS n_chars
+           CASE WHEN status_code >= 400 OR (content_type <> '' AND content_type NOT LIKE '%html%') THEN ''
+                WHEN length(m) >= 200 THEN m WHEN length(f) >= 200 THEN f ELSE '' END AS text
     FROM (SELECT *, {clean_sql(MAIN_SQL)} AS m, {clean_sql(FULL_SQL)} AS f FROM v_fetched_pages) x
     UNION ALL
     SELECT 'd' || CAST(doc_id AS STRING), 'file', CASE WHEN length(t) < 50
-               THEN 'File content too short after loading the data from file' ELSE '' END, length(t)
-    FROM (SELECT doc_id, {clean_sql("replace(text, '. ', '.' || chr(10) || chr(10))")} AS t FROM documents) y""")
+               THEN 'File content too short after loading the data from file' ELSE '' END, t
+    FROM (SELECT doc_id, {clean_sql("replace(text, '. ', '.' || chr(10) || chr(10))")} AS t FROM documents) y"""
+
+
+@query("ingest_union", f"SELECT source_id, type, error_message, length(text) AS n_chars FROM ({SOURCE_TEXTS}) z")
 def ingest_union(spark, sf):
     """Sources of all pages and all documents, by both branches, to the length or the error of each."""
     from ragtables.plans.ingest import ingest_union as texts
@@ -210,7 +226,12 @@ def _corpus(spark, sf):
     return urls.unionByName(others), pages, files, files.select("bucket", "path"), parts
 
 
-@query("ingest")
+@query("ingest", f"""
+    WITH RECURSIVE source_texts AS ({SOURCE_TEXTS}),
+    {chunk_sql("SELECT source_id AS doc, text FROM source_texts WHERE error_message = ''")}
+    SELECT s.source_id, s.error_message, count(c.doc) AS n_vectors, CAST(coalesce(sum(length(c.content)), 0) AS BIGINT)
+               AS n_chars
+    FROM source_texts s LEFT JOIN chunks c ON c.doc = s.source_id GROUP BY s.source_id, s.error_message""")
 def ingest(spark, sf):
     """The whole way from sources to vectors: chunks of each source with their vectors, and its outcome."""
     from ragtables.plans.ingest import ingest as run
@@ -219,13 +240,16 @@ def ingest(spark, sf):
     vectors = view(spark, sf, "v_embeddings").withColumn("document_id", F.col("document_id").cast("string"))
     done = run(*_corpus(spark, sf), stored_chunks=chunks, stored_vectors=vectors)
     per_source = (done.chunks.join(done.vectors.select("document_id"), "document_id").groupBy("source_id")
-                  .agg(F.count("*").alias("n_vectors")))
+                  .agg(F.count("*").alias("n_vectors"), F.sum(F.length("content")).alias("n_chars")))
     return done.results.join(per_source, "source_id", "left").select(
         "source_id", F.coalesce("error_message", F.lit("")).alias("error_message"),
-        F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+        F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
 
-@query("stream_ingest")
+@query("stream_ingest", f"""
+    {CHUNKED}
+    SELECT doc AS source_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars
+    FROM chunks GROUP BY doc""")
 def stream_ingest(spark, sf):
     """The documents as a stream, taken in to the end; chunks and vectors per source."""
     from ragtables.streaming.ingest import stream_ingest as run

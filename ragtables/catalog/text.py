@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragtables.catalog import query
+from ragtables.catalog.chunk_sql import chunk_sql
 from ragtables.catalog.fixtures import view
 from ragtables.functions import text as X
 from ragtables.functions.names import file_extension, mime_extension
@@ -157,12 +158,18 @@ def _chunks(spark, sf):
     return chunk(documents.select("doc_id", X.clean_text(F.col("text")).alias("text")))
 
 
-@query("chunk_documents")
+CHUNKED = f"WITH RECURSIVE {chunk_sql(f'SELECT doc_id AS doc, {clean_sql('text')} AS text FROM documents')}"
+
+
+@query("chunk_documents", f"{CHUNKED} SELECT doc AS doc_id, chunk_index, content FROM chunks")
 def chunk_documents(spark, sf):
-    return _chunks(spark, sf)
+    return _chunks(spark, sf).drop("start")
 
 
-@query("chunk_numbering")
+@query("chunk_numbering", f"""
+    {CHUNKED}
+    SELECT doc AS doc_id, count(*) AS n_chunks, 0 AS first_index, count(*) - 1 AS last_index, count(*) AS n_indexes
+    FROM chunks GROUP BY doc""")
 def chunk_numbering(spark, sf):
     """Chunks per document; the numbers run from 0 without a gap."""
     return _chunks(spark, sf).groupBy("doc_id").agg(
@@ -183,18 +190,23 @@ def chunk_provenance(spark, sf):
 
 def _vector_facts(df, key, vector):
     squares = F.aggregate(F.transform(vector, lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
-    return df.select(key, F.size(vector).alias("dimensions"), F.round(squares, 4).alias("squared_length"),
-                     F.size(F.filter(vector, lambda x: x != 0)).alias("n_nonzero"))
+    return df.select(key, F.size(vector).alias("dimensions"), F.round(squares, 4).alias("squared_length"))
+
+
+LENGTH = r"CAST(CASE WHEN regexp_matches(content, '[\p{L}\p{N}]') THEN 1 ELSE 0 END AS DOUBLE) AS squared_length"
 
 
-@query("embed_chunks")
+@query("embed_chunks", f"""
+    SELECT document_id, 1536 AS dimensions, {LENGTH} FROM v_chunks c WHERE NOT EXISTS
+        (SELECT 1 FROM v_embeddings e WHERE e.document_id = c.document_id AND e.deleted_at IS NULL)""")
 def embedded_chunks(spark, sf):
     """Vectors of the chunks that have none; length 1 unless the text has no word."""
     vectors = embed_chunks(spread(view(spark, sf, "v_chunks"), "document_id"), view(spark, sf, "v_embeddings"))
     return _vector_facts(vectors, "document_id", "embedding")
 
 
-@query("embed_queries")
+@query("embed_queries", f"""
+    SELECT message_id AS query_id, 1536 AS dimensions, {LENGTH} FROM v_messages WHERE role = 'user'""")
 def embedded_queries(spark, sf):
     users = view(spark, sf, "v_messages").filter("role = 'user'")
     queries = users.select(F.col("message_id").alias("query_id"), F.col("content").alias("query"))
