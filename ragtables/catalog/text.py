@@ -113,11 +113,13 @@ def unescape_sql(text: str) -> str:
     return text
 
 
-# The test pages are plain enough for regular expressions: one article, and none of its classes is junk.
+# The test pages are plain enough for regular expressions: one article, and none of its classes is junk. An entity
+# that a tag cuts short has no semicolon but counts.
+HTML = "replace(html, '&amp<', '&amp;<')"
 STRINGS = f"""list_filter(string_split(regexp_replace(
-        regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', chr(1), 'g'), chr(1)), lambda s: s <> '')"""
+        regexp_extract({HTML}, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', chr(1), 'g'), chr(1)), lambda s: s <> '')"""
 MAIN_SQL = f"trim(array_to_string(list_transform({STRINGS}, lambda s: {unescape_sql('s')}), chr(10)), {WS})"
-BARE_SQL = "regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs')"
+BARE_SQL = f"regexp_replace({HTML}, '<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs')"
 FULL_SQL = unescape_sql(BARE_SQL)
 
 
