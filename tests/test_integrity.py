@@ -6,7 +6,8 @@ from tests.conftest import plan
 
 REFS = (Reference("bots", "org", "orgs", "cascade"), Reference("keys", "bot", "bots", "cascade"),
         Reference("keys", "org", "orgs", "cascade"), Reference("talks", "key", "keys", "set_null"),
-        Reference("talks", "org", "orgs", "cascade"), Reference("leads", "talk", "talks", "set_null"))
+        Reference("talks", "org", "orgs", "cascade"), Reference("leads", "talk", "talks", "set_null"),
+        Reference("notes", "key", "keys", "cascade"))
 
 
 @pytest.fixture
@@ -18,13 +19,15 @@ def tables(spark):
                                       "id int, bot int, org int"),
         "talks": spark.createDataFrame([(1000, 100, 2), (2000, 200, 1), (3000, 200, None)], "id int, key int, org int"),
         "leads": spark.createDataFrame([(1, 1000), (2, 2000), (3, None)], "id int, talk int"),
+        "notes": spark.createDataFrame([(7, 100), (8, 200), (9, 300)], "id int, key int"),
     }
 
 
 def test_reference_audit(tables):
     got = {(r.child, r.column): (r.n_rows, r.n_orphans) for r in I.fk_audit(tables, REFS).collect()}
     assert got == {("bots", "org"): (3, 1), ("keys", "bot"): (4, 1), ("keys", "org"): (3, 0),
-                   ("talks", "key"): (3, 0), ("talks", "org"): (2, 0), ("leads", "talk"): (2, 0)}
+                   ("talks", "key"): (3, 0), ("talks", "org"): (2, 0), ("leads", "talk"): (2, 0),
+                   ("notes", "key"): (3, 0)}
 
 
 def test_reference_audit_counts_before_it_joins(spark):
@@ -42,12 +45,12 @@ def test_deletion_follows_references(tables):
     gone = {"orgs": tables["orgs"].filter("id = 1")}
     doomed, kept = I.cascade_delete(tables, gone, REFS)
     ids = {t: sorted(r.id for r in df.collect()) for t, df in doomed.items()}
-    assert ids == {"orgs": [1], "bots": [10], "keys": [100, 300], "talks": [2000]}
+    assert ids == {"orgs": [1], "bots": [10], "keys": [100, 300], "talks": [2000], "notes": [7, 9]}
     assert sorted(r.id for r in kept["keys"].collect()) == [200, 400]
     after = I.delete_rows(tables, gone, REFS)
     assert {r.id: r.key for r in after["talks"].collect()} == {1000: None, 3000: 200}
     assert {r.id: r.talk for r in after["leads"].collect()} == {1: 1000, 2: None, 3: None}
-    assert "LeftSemi" in plan(doomed["keys"]) and "LeftAnti" in plan(kept["keys"])
+    assert "LeftSemi" in plan(doomed["notes"]) and "LeftAnti" in plan(kept["keys"])
 
 
 def test_deleting_nothing_changes_nothing(tables):

@@ -87,11 +87,16 @@ def test_count_tokens(spark, text, n):
     assert spark.range(1).select(X.count_tokens(F.lit(text)).alias("n")).first().n == n
 
 
-def test_vocabulary_counter(spark):
+def test_vocabulary_counter(spark, sf):
     tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
     counter = X.bpe_token_counter(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "i int, t string")
     assert {r.i: r.n for r in df.select("i", counter("t").alias("n")).collect()} == {1: 2, 2: None, 3: 0}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text", counter("text").alias("n")).collect()
+    encoded = tokenizer.encode_batch([r.text for r in rows], add_special_tokens=False)
+    assert [r.n for r in rows] == [len(e.ids) for e in encoded]
 
 
 @pytest.mark.parametrize("url,ok", [
