@@ -259,7 +259,7 @@ def stream_ingest(spark, sf):
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     texts = raw.select(F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("bot_id"),
                        F.lit("org").alias("organization_id"), "text")
-    done = run(texts, f"{base}/chunks", f"{base}/vectors", f"{base}/checkpoint", dimensions=256,
+    done = run(texts, f"{base}/chunks", f"{base}/vectors", f"{base}/checkpoint", dimensions=256, folders=8,
                prepare=lambda batch: batch.withColumn("text", clean_text(F.col("text"))))
     done.awaitTermination()
     chunks, vectors = spark.read.parquet(f"{base}/chunks"), spark.read.parquet(f"{base}/vectors")

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragtables.session import materialize
+
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(keys: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a table of narrow keys if a count shows it to be small; else Spark shuffles both sides."""
-    return F.broadcast(keys) if keys.count() <= max_rows else keys
+    """Broadcast hint for a table of narrow keys if a count shows it to be small; else Spark shuffles both sides.
+
+    The keys are written once, so that the count comes from the files' footers and nothing is computed twice.
+    """
+    written = materialize(keys, "keys")
+    return F.broadcast(written) if written.count() <= max_rows else written

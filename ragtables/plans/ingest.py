@@ -16,6 +16,7 @@ from ragtables.fixed_values import (
     CHUNK_OVERLAP, CHUNK_SIZE, EMBEDDING_DIMENSIONS, ERR_FILE_MISSING, ERR_PAGE_FETCH, ERR_PAGE_SHORT,
 )
 from ragtables.functions.text import clean_text
+from ragtables.operators.bounded import MAX_BROADCAST_ROWS
 from ragtables.operators.chunking import chunk_documents
 from ragtables.operators.embedding import Embedder, embed_chunks
 from ragtables.operators.filters import is_url, min_length_gate, source_errors
@@ -56,18 +57,22 @@ def url_sources(sources: DataFrame, page_texts: DataFrame) -> DataFrame:
     return found.withColumn("error_message", error)
 
 
-def landed_page_texts(sources: DataFrame, pages: DataFrame) -> DataFrame:
+def landed_page_texts(sources: DataFrame, pages: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """(url, page_id, reason, text, method) of the landed pages that sources ask for, one per URL.
 
-    Which page serves a URL is settled on narrow rows, before any HTML is read; admitted pages come first.
+    Which page serves a URL is settled on narrow rows; admitted pages come first. HTML never meets a shuffle: a short
+    list of wanted pages is broadcast to the scan, and with a long one all admitted pages are parsed and their texts,
+    far smaller than the HTML, are joined.
     """
     wanted = sources.select(F.col("source_value").alias("url")).distinct()
     judged = judge_pages(pages)
     first = F.min(F.struct(F.col("reason").isNotNull().alias("rejected"), "page_id", "reason")).alias("p")
-    chosen = (judged.join(wanted, "url", "left_semi").groupBy("url").agg(first)
-              .select("url", "p.page_id", "p.reason"))
-    html = spread(judged.filter(F.col("reason").isNull()).select("page_id", "html"), "page_id")
-    admitted = html.join(chosen.filter(F.col("reason").isNull()).select("page_id"), "page_id", "left_semi")
+    chosen = materialize(judged.join(wanted, "url", "left_semi").groupBy("url").agg(first)
+                         .select("url", "p.page_id", "p.reason"), "chosen")
+    admitted = spread(judged.filter(F.col("reason").isNull()).select("page_id", "html"), "page_id")
+    ids = chosen.filter(F.col("reason").isNull()).select("page_id")
+    if ids.count() <= max_broadcast:
+        admitted = admitted.join(F.broadcast(ids), "page_id", "left_semi")
     texts = page_text_with_fallback(extract_text(admitted)).select("page_id", "text", "method")
     return chosen.join(texts, "page_id", "left")
 

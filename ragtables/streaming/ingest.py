@@ -4,49 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ragtables.fixed_values import EMBEDDING_DIMENSIONS
 from ragtables.operators.chunking import chunk_documents
-from ragtables.operators.embedding import Embedder, embed_chunks
+from ragtables.operators.embedding import Embedder, chunks_without_embedding, embed
 from ragtables.operators.training import chunk_provenance, dedupe_chunk_inserts
 from ragtables.session import materialize
 
+FOLDERS = 256
 
-def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stored table, or an empty one before the first batch."""
+
+def folder_of(source_id: Column, folders: int = FOLDERS) -> Column:
+    """Folder of a source in the chunk and vector tables."""
+    return F.pmod(F.xxhash64(source_id), F.lit(folders)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType, folders: list[int]) -> DataFrame:
+    """Stored rows in the given folders; an empty table before the first batch."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).filter(F.col("folder").isin(folders))
 
 
-def stream_ingest(texts: DataFrame, chunk_path: str, vector_path: str, checkpoint: str, dimensions: int = 1536,
-                  embedder: Embedder | None = None,
-                  prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def stream_ingest(texts: DataFrame, chunk_path: str, vector_path: str, checkpoint: str,
+                  dimensions: int = EMBEDDING_DIMENSIONS, embedder: Embedder | None = None,
+                  prepare: Callable[[DataFrame], DataFrame] | None = None, folders: int = FOLDERS) -> StreamingQuery:
     """Run the batch functions on every micro-batch of ``texts(source_id, bot_id, organization_id, text)``.
 
     ``prepare`` turns raw stream rows into such texts. The anti joins against what is stored make a repeated batch add
-    nothing, so the tables end as if each source had been handled once.
+    nothing, so the tables end as if each source had been handled once. Tables are kept in folders by a hash of the
+    source, and a batch reads only the folders that its own sources fall into, however large the tables have grown.
     """
     spark = texts.sparkSession
 
     def add(batch: DataFrame, batch_id: int) -> None:
         ready = prepare(batch) if prepare else batch
         chunks = chunk_provenance(chunk_documents(ready.select("source_id", "bot_id", "organization_id", "text"))
-                                  .drop("start"))
-        fresh = materialize(dedupe_chunk_inserts(chunks, _read_or_empty(spark, chunk_path, chunks.schema)), "batch")
-        fresh.write.mode("append").parquet(chunk_path)
-        none = T.StructType([T.StructField("document_id", T.StringType()),
-                             T.StructField("embedding", T.ArrayType(T.FloatType())),
-                             T.StructField("deleted_at", T.TimestampType())])
-        stored = _read_or_empty(spark, vector_path, none)
+                                  .drop("start")).withColumn("folder", folder_of(F.col("source_id"), folders))
+        made = materialize(chunks, "batch")
+        touched = [r["folder"] for r in made.select("folder").distinct().collect()]  # at most ``folders`` numbers
+        fresh = dedupe_chunk_inserts(made, _stored(spark, chunk_path, made.schema, touched))
+        fresh.hint("rebalance", "folder").write.mode("append").partitionBy("folder").parquet(chunk_path)
+        vector_schema = T.StructType([made.schema["document_id"],
+                                      T.StructField("embedding", T.ArrayType(T.FloatType())),
+                                      T.StructField("deleted_at", T.TimestampType()), made.schema["folder"]])
         # All stored chunks without vector, not only the fresh ones: a batch that died between the two writes heals.
-        pending = spark.read.schema(chunks.schema).parquet(chunk_path)
-        sources = ready.select("source_id").distinct()
-        vectors = embed_chunks(pending.join(sources, "source_id", "left_semi"), stored, dimensions, embedder)
-        vectors.withColumn("deleted_at", F.lit(None).cast("timestamp")).write.mode("append").parquet(vector_path)
+        pending = chunks_without_embedding(_stored(spark, chunk_path, made.schema, touched),
+                                           _stored(spark, vector_path, vector_schema, touched))
+        vectors = embed(pending.select("document_id", "content", "folder"), "content", "embedding", dimensions, embedder)
+        (vectors.select("document_id", "embedding", F.lit(None).cast("timestamp").alias("deleted_at"), "folder")
+         .write.mode("append").partitionBy("folder").parquet(vector_path))
 
     return (texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -80,7 +80,7 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, sf):
     def take_in(share):
         share.coalesce(1).write.mode("append").parquet(f"{base}/in")
         stream_ingest(spark.readStream.schema(documents.schema).parquet(f"{base}/in"), f"{base}/chunks",
-                      f"{base}/vectors", f"{base}/checkpoint", dimensions=16).awaitTermination()
+                      f"{base}/vectors", f"{base}/checkpoint", dimensions=16, folders=4).awaitTermination()
 
     take_in(halves[0])
     take_in(halves[1])
@@ -90,3 +90,30 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, sf):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     vectors = spark.read.parquet(f"{base}/vectors")
     assert vectors.count() == len(want) == vectors.select("document_id").distinct().count()
+
+
+def test_batches_read_only_the_folders_of_their_sources(spark):
+    from ragtables.streaming.ingest import _stored, folder_of
+
+    path = scratch_path(spark, "folders")
+    rows = spark.range(50).withColumn("folder", folder_of(F.col("id"), 8))
+    assert _stored(spark, path, rows.schema, [1]).count() == 0
+    rows.write.partitionBy("folder").parquet(path)
+    stored = _stored(spark, path, rows.schema, [1, 5])
+    assert "PartitionFilters: [folder" in plan(stored)
+    assert sorted(r.id for r in stored.collect()) == sorted(r.id for r in rows.filter("folder IN (1, 5)").collect())
+
+
+def test_html_is_never_shuffled(spark, sf):
+    from ragtables.plans.ingest import landed_page_texts
+
+    sources, pages = _corpus(spark, sf)[:2]
+    urls = sources.filter("type = 'url'")
+    few, many = landed_page_texts(urls, pages), landed_page_texts(urls, pages, max_broadcast=0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    for df in (few, many):
+        # Between the parser and the scan there is no exchange but the one that gives a one-file table more tasks.
+        below = plan(df).split("_page_text(")[-1]
+        below = below[:below.index("FileScan")].split("\n")
+        exchanges = [line for line in below if "Exchange" in line and "BroadcastExchange" not in line]
+        assert all("REPARTITION_BY_NUM" in line for line in exchanges)
