@@ -102,7 +102,7 @@ def test_vocabulary_counter(spark, sf):
 @pytest.mark.parametrize("url,ok", [
     ("https://a.example/x", True), ("a.example/x", False), ("  http://a.example", True), ("http://", False),
     ("http:///path", False), ("mailto:someone", False), ("ftp://host with blank/", True), ("1http://a", False),
-    ("", False), (None, False), ("//host/path", False), ("x+y.z-1://h", True)])
+    ("", False), (None, False), ("//host/path", False), ("x+y.z-1://h", True), ("ht\ntp://a", True)])
 def test_has_host(spark, url, ok):
     assert spark.range(1).select(has_host(F.lit(url).cast("string")).alias("v")).first().v is ok
 
