@@ -27,11 +27,15 @@ from ragtables.session import materialize, spread
 from ragtables.sources.files import route_files
 from ragtables.sources.pages import judge_pages
 
+OWNER = ("source_id", "bot_id", "organization_id")
 SOURCE_COLUMNS = ("source_id", "bot_id", "organization_id", "type", "n_chars", "error_message")
 
 
 class Texts(NamedTuple):
-    """Rows about sources with length and error, cleaned page texts by source, cleaned file parts by source."""
+    """Rows about sources with length and error, cleaned page texts by owner, cleaned file parts by owner.
+
+    The owner is source, bot and organization; it goes with the text, so that chunks need no join to learn it.
+    """
 
     sources: DataFrame
     pages: DataFrame
@@ -105,12 +109,12 @@ def ingest_union(sources: DataFrame, pages: DataFrame, files: DataFrame, objects
     rows = materialize(url_rows.select(*SOURCE_COLUMNS, "page_id").unionByName(
         file_rows.select(*SOURCE_COLUMNS, "file_id"), allowMissingColumns=True), "sources")
     good = rows.filter(F.col("error_message").isNull())
-    good_pages = good.filter(F.col("page_id").isNotNull()).select("source_id", "page_id")
-    good_files = good.filter(F.col("file_id").isNotNull()).select("source_id", "file_id")
+    good_pages = good.filter(F.col("page_id").isNotNull()).select(*OWNER, "page_id")
+    good_files = good.filter(F.col("file_id").isNotNull()).select(F.struct(*OWNER).alias("owner"), "file_id")
     return Texts(
         rows.select(*SOURCE_COLUMNS),
-        page_texts.select("page_id", "text").join(good_pages, "page_id").select("source_id", "text"),
-        file_parts.join(good_files, "file_id").select(F.col("source_id").alias("file_id"), "part_no", "text"))
+        page_texts.select("page_id", "text").join(good_pages, "page_id").select(*OWNER, "text"),
+        file_parts.join(good_files, "file_id").select(F.col("owner").alias("file_id"), "part_no", "text"))
 
 
 def ingest(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: DataFrame, parts: DataFrame,
@@ -121,9 +125,8 @@ def ingest(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: Data
     texts = ingest_union(sources, pages, files, objects, parts)
     of_pages = chunk_documents(texts.pages, "text", chunk_size, chunk_overlap).drop("start")
     of_files = chunk_parts(texts.parts, chunk_size, chunk_overlap, max_whole_chars).select(
-        F.col("file_id").alias("source_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content")
-    tenants = texts.sources.select("source_id", "bot_id", "organization_id")
-    chunks = chunk_provenance(of_pages.unionByName(of_files).join(tenants, "source_id"), chunk_size, chunk_overlap)
+        "file_id.*", F.col("chunk_index").cast("int").alias("chunk_index"), "content")
+    chunks = chunk_provenance(of_pages.unionByName(of_files), chunk_size, chunk_overlap)
     fresh = materialize(dedupe_chunk_inserts(chunks, stored_chunks), "chunks")
     vectors = embed_chunks(fresh, stored_vectors, dimensions, embedder)
     return Ingested(fresh, vectors, texts.sources.select("source_id", "error_message"))
