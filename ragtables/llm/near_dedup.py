@@ -43,26 +43,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def _probe_table(length: int = 2048) -> np.ndarray:
+def probe_table(length: int = 2048) -> np.ndarray:
     cells = np.arange(BINS * length, dtype=np.uint64).reshape(BINS, length)
     return (mix(cells + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
 
 
-_PROBES = _probe_table()
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS_LOG2)
 _WEIGHTS = mix(np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(17)).reshape(BANDS, ROWS) | np.uint64(1)
 
 
-def signature(ordered: np.ndarray) -> np.ndarray:
-    """Values of all bins of a non-empty sorted set."""
+def signature(ordered: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """Values of all bins of a non-empty sorted set; ``probes`` has the bins that each bin asks, in order."""
     at = np.searchsorted(ordered, _EDGES)
     values = ordered[np.minimum(at, len(ordered) - 1)]
     filled = (at < len(ordered)) & (values >> np.uint64(64 - BINS_LOG2) == np.arange(BINS, dtype=np.uint64))
     empty, width = np.flatnonzero(~filled), 16
-    while len(empty) and width <= _PROBES.shape[1]:
-        hits = filled[_PROBES[empty, :width]]
+    while len(empty) and width <= probes.shape[1]:
+        hits = filled[probes[empty, :width]]
         found = hits.any(axis=1)
-        values[empty[found]] = values[_PROBES[empty[found], hits[found].argmax(axis=1)]]
+        values[empty[found]] = values[probes[empty[found], hits[found].argmax(axis=1)]]
         empty, width = empty[~found], width * 16 if width < 256 else width * 8
     if len(empty):  # no probe met a filled bin: the next filled one, in a circle
         full = np.flatnonzero(filled)
@@ -92,13 +91,14 @@ def _sign(similarity: int):
     least = least_linkable(similarity)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = probe_table()
         for batch in batches:
             for part in text_slices(batch):
                 sets = shingle_sets(*text_bytes(part.column("text")))
                 digests = np.array([[mix(s).sum(dtype=np.uint64), mix(s * np.uint64(3) + np.uint64(7)).sum(dtype=np.uint64)]
                                     for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 large = [i for i, s in enumerate(sets) if len(s) >= least]
-                keys = band_keys(np.stack([signature(sets[i]) for i in large])) if large else np.zeros((0, BANDS), np.uint64)
+                keys = band_keys(np.stack([signature(sets[i], probes) for i in large])) if large else np.zeros((0, BANDS), np.uint64)
                 counts = np.zeros(len(sets) + 1, np.int32)
                 counts[np.array(large, int) + 1] = BANDS
                 bands = pa.ListArray.from_arrays(np.cumsum(counts, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
