@@ -1,4 +1,12 @@
 """Import the modules that register queries."""
 
-from ragtables.llm import decontamination_query, hmm_query, mixing_query, near_dedup_query, token_files_query  # noqa: F401
+from ragtables.llm import (  # noqa: F401
+    decontamination_query,
+    hmm_query,
+    mixing_query,
+    near_dedup_query,
+    quality_query,
+    secrets_query,
+    token_files_query,
+)
 from ragtables.llm.catalog import ORACLES, QUERIES  # noqa: F401
