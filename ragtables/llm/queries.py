@@ -4,9 +4,11 @@ from ragtables.llm import (  # noqa: F401
     decontamination_query,
     hmm_query,
     mixing_query,
+    mtree_query,
     near_dedup_query,
     quality_query,
     secrets_query,
     token_files_query,
+    warc_query,
 )
 from ragtables.llm.catalog import ORACLES, QUERIES  # noqa: F401
