@@ -3,6 +3,7 @@
 from ragtables.llm import (  # noqa: F401
     decontamination_query,
     hmm_query,
+    main_text_query,
     mixing_query,
     mtree_query,
     near_dedup_query,
