@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtables.llm.common import words_of
+from ragtables.llm.common import broadcast_checked, words_of
 from ragtables.session import materialize
 
 #: Hexadecimal digits of the key: 60 bits.
@@ -82,25 +82,34 @@ def sized(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Documents as the mix takes them: left out, repeated, or cut at a word; columns of ``docs``.
 
-    A document taken in part keeps its first words, joined by spaces. One document per doc_id is expected; of rows with
-    an equal doc_id and size each counts by itself, and each text is kept as often as its row is taken. Documents without
-    words are not taken.
+    A document taken in part keeps its first words, joined by spaces, and n_chars follows the text. Documents without
+    words are not taken. Rows that agree in doc_id, source and size are told apart by an order of their texts.
     """
-    plan = materialize(mix(sized(docs)).filter("taken > 0").select("doc_id", "source", "size", "taken"), "taken")
-    number = Window.partitionBy("doc_id", "source", "size").orderBy("taken")
-    plan = plan.withColumn("copy", F.row_number().over(number))
+    plan = materialize(mix(sized(docs)).filter("taken > 0").select(_row_key().alias("row"), "size", "taken"), "plan")
+    several = materialize(plan.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row"), "several")
     size = F.size(words_of(F.col("text"))).cast("long")
-    mine = docs.withColumn("size__", size).withColumn(
-        "copy__", F.row_number().over(Window.partitionBy("doc_id", "source", "size__").orderBy(F.xxhash64("text"))))
-    joined = mine.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
-                                  & F.col("d.source").eqNullSafe(F.col("p.source"))
-                                  & (F.col("d.size__") == F.col("p.size")) & (F.col("d.copy__") == F.col("p.copy")))
+    keyed = docs.withColumn("size", size).withColumn("row__", _row_key()).drop("size")
+    if not several.count():
+        return _taken(keyed, broadcast_checked(plan, "plan", row_bytes=48), docs.columns)
+    once = _taken(keyed, plan.join(several, "row", "left_anti"), docs.columns)
+    texts = Window.partitionBy("row__").orderBy(F.xxhash64("text"))
+    rows = keyed.join(several.withColumnRenamed("row", "row__"), "row__").withColumn("number__", F.row_number().over(texts))
+    number = F.row_number().over(Window.partitionBy("row").orderBy("taken"))
+    more = plan.join(several, "row").select("size", "taken", F.xxhash64("row", number).alias("row"))
+    rows = rows.withColumn("row__", F.xxhash64("row__", "number__"))
+    return once.unionByName(_taken(rows, more, docs.columns))
+
+
+def _row_key():
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "size")
+
+
+def _taken(rows: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
+    joined = rows.alias("d").join(plan.alias("p"), F.col("d.row__") == F.col("p.row"))
     times = F.ceil(F.col("p.taken") / F.col("p.size")).cast("int")
     repeated = joined.withColumn("epoch__", F.explode(F.sequence(F.lit(1), times)))
     left = F.col("p.taken") - (F.col("epoch__") - 1) * F.col("p.size")
-    text = F.when(left >= F.col("p.size"), F.col("d.text")).otherwise(
-        F.array_join(F.slice(words_of(F.col("d.text")), 1, F.greatest(left, F.lit(1)).cast("int")), " "))
+    cut = F.array_join(F.slice(words_of(F.col("d.text")), 1, F.greatest(left, F.lit(1)).cast("int")), " ")
+    text = F.when(left >= F.col("p.size"), F.col("d.text")).otherwise(cut)
     out = {"text": text, "n_chars": F.length(text).cast("long")}
-    return repeated.select(*[out[c].alias(c) if c in out else F.col(f"d.{c}") for c in docs.columns])
-
-
+    return repeated.select(*[out[c].alias(c) if c in out else F.col(f"d.{c}") for c in columns])

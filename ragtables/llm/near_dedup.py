@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragtables.llm.common import broadcast_checked, text_bytes, text_slices
@@ -237,3 +237,17 @@ def _further(buckets: DataFrame, component: DataFrame, turn: int) -> DataFrame:
     named = materialize(named.join(several, "key", "left_semi").select("key", "rep", "n"), "several")
     both = [_candidates(named, f"xxhash64(rep, key, {turn}, {i})") for i in range(2)]
     return both[0].unionByName(both[1])
+
+
+def deduplicated(docs: DataFrame, similarity: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the least doc_id, once."""
+    found = materialize(near_duplicates(docs, similarity), "found")
+    gone = broadcast_checked(found.filter("not kept").select("doc_id").distinct(), "gone", row_bytes=32)
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+                        .filter("n > 1").select("doc_id"), "twice")
+    if not twice.count():
+        return stay
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    first = stay.join(twice, "doc_id", "left_semi").withColumn("number__", number).filter("number__ = 1")
+    return stay.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
