@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating star contractions."""
+"""Connected components of an edge table: least labels spread along edges, and labels jump to their own label."""
 
 from __future__ import annotations
 
@@ -8,34 +8,22 @@ from pyspark.sql import functions as F
 from ragtables.session import materialize
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """(node, least of the node and its neighbours)"""
-    return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-
-
-def _checksum(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-
-
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for all ends of the edges; a component is named by its least node.
 
-    Large stars hang each node's larger neighbours on its least neighbour, small stars do the same with the smaller
-    ones, until nothing changes: logarithmic in the longest path. Minima are pre-aggregated, so a node with very many
-    neighbours is no single task; every round is written to the shared folder. Null ends and loops take no part.
+    In each round a node takes the least label among itself and its neighbours, then the label of the node that names it,
+    until nothing changes. Minima are pre-aggregated, so a node with very many neighbours is no single task; every round
+    is written to the shared folder. Null ends and loops take no part.
     """
-    u, v = F.least(left, right).alias("v"), F.greatest(left, right).alias("u")
-    current = materialize(edges.filter(F.col(left) != F.col(right)).select(u, v).distinct(), "edges")
-    before = None
-    while (state := _checksum(current)) != before:
-        before = state
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_stars(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = _stars(large)
-        small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))))
-        current = materialize(small.filter("u <> v").distinct(), "edges")
-    roots = current.select(F.col("v").alias("node")).distinct()
-    return (current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            .unionByName(roots.select("node", F.col("node").alias("component"))))
+    one = edges.filter(F.col(left) != F.col(right)).select(F.col(left).alias("u"), F.col(right).alias("v"))
+    both = materialize(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+    labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c")), "labels")
+    while True:
+        names = labels.select(F.col("u").alias("v"), F.col("c").alias("of"))
+        near = both.join(names, "v").groupBy("u").agg(F.min("of").alias("near"))
+        stepped = labels.join(near, "u").select("u", F.col("c").alias("was"), F.least("c", "near").alias("v"))
+        jumped = stepped.join(names, "v").select("u", F.col("of").alias("c"), (F.col("of") != F.col("was")).alias("moved"))
+        jumped = materialize(jumped, "labels")
+        labels = jumped.select("u", "c")
+        if not jumped.filter("moved").limit(1).count():
+            return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))

@@ -20,7 +20,8 @@ from ragtables.llm.components import connected_components
 from ragtables.llm.words import mix, word_hashes
 from ragtables.session import materialize
 
-BINS_LOG2, ROWS, ORDERS, MEMBERS_PER_SALT = 8, 6, 4, 4096
+BINS_LOG2, ROWS, MEMBERS_PER_SALT = 8, 6, 4096
+CENTERS, SMALL = 4, 5
 BINS = 1 << BINS_LOG2
 BANDS = BINS // ROWS
 _SINGLE = np.uint64(0xA0761D6478BD642F)
@@ -156,72 +157,84 @@ def confirm_edges(docs: DataFrame, edges: DataFrame, similarity: int) -> DataFra
     return materialize(dealt.mapInArrow(_confirm(similarity), schema), "links").distinct()
 
 
-def _candidates(buckets: DataFrame, order: str) -> DataFrame:
-    """Edges of every bucket to the centre that ``order`` puts first, for sets of comparable size."""
-    centers = buckets.groupBy("key").agg(F.min(F.struct(F.expr(order).alias("o"), "rep", "n")).alias("c"))
-    return buckets.join(centers, "key").select(F.col("c.rep").alias("center"), F.col("rep").alias("member"),
-                                               F.col("c.n").alias("center_n"), "n", F.col("c.o").alias("o"))
+def _ranked(buckets: DataFrame) -> DataFrame:
+    """With ``me``, the place of a member among those that may be centres: most company first, then a random order."""
+    return buckets.withColumn("me", F.struct(-F.col("company"), F.xxhash64("rep").alias("h"), "rep", "n"))
 
 
-def near_duplicates(docs: DataFrame, similarity: int = 80, rounds: int = 4) -> DataFrame:
+def _candidates(buckets: DataFrame, similarity: int) -> DataFrame:
+    """(center, member) of every bucket: its first member of each of four random parts with all members after it.
+
+    A bucket of up to ``SMALL`` members has all of them as centres.
+    """
+    ranked = _ranked(buckets)
+    parts = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(CENTERS)) == i, F.col("me"))) for i in range(CENTERS)]
+    few = F.collect_list(F.when(F.col("size") <= SMALL, F.col("me")))
+    centers = ranked.groupBy("key").agg(F.array_distinct(F.array_compact(F.concat(F.array(*parts), few))).alias("centers"))
+    edges = ranked.join(centers, "key").select("me", F.explode("centers").alias("c")).filter("c < me")
+    return _fitting(edges.select(F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("me.rep").alias("member"), F.col("me.n").alias("n")), similarity)
+
+
+def _fitting(edges: DataFrame, similarity: int) -> DataFrame:
+    return edges.filter(f"100 * least(n, cn) >= {similarity} * greatest(n, cn)").select("center", "member").distinct()
+
+
+def _further(buckets: DataFrame, component: DataFrame, similarity: int) -> DataFrame:
+    """(center, member) for buckets of several components: the first member outside the largest one with all others."""
+    named = buckets.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("l"), F.count("*").alias("k")).filter("k > 1")
+    named = materialize(named.join(largest, "key").select("key", "rep", "n", "company", "component", F.col("l.component").alias("most")), "several")
+    first = F.min(F.when(F.col("component") != F.col("most"), F.struct("me", "component"))).alias("c")
+    centers = _ranked(named).groupBy("key").agg(first)
+    edges = named.join(centers, "key").filter("component <> c.component").select(
+        F.col("c.me.rep").alias("center"), F.col("c.me.n").alias("cn"), F.col("rep").alias("member"), "n")
+    return _fitting(edges, similarity)
+
+
+def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Documents are linked if 100 * shared shingles >= ``similarity`` * all shingles of both. Documents of the same set are
     one class, found by a 128-bit digest of the set, and are linked through its least doc_id. Classes meet in buckets of
-    6 of 252 bins: at the similarity of 0.8 a pair shares no bucket with a probability of 5e-6. In every bucket one centre
-    is joined with all members, by four different orders of centres over the bands. First each member is confirmed with
-    one centre, then with all its other centres of other components; then buckets that still hold several components get
-    further random centres, until such a round finds no new link (at least one, at most ``rounds`` rounds).
+    6 of 252 bins: at the similarity of 0.8 a pair shares no bucket with a probability of 5e-6. In a bucket the first
+    member of each of ``CENTERS`` random parts is joined with all members after it, in the order of how much company
+    they have in all their buckets; the members of small buckets are all joined. An original has more company than its
+    copies, so a group of copies that are too far from each other hangs together by it. All edges are confirmed on full
+    sets. Then buckets that still hold several components join their first member outside the largest one with the rest.
 
     Null, empty and blank texts have empty sets, are linked with nothing and kept. Rows that share a doc_id are one
     document. Rows without doc_id are linked with nothing and kept, with a null component. All other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(_sign(similarity), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     members = signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
-    classes = materialize(members.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    same = materialize(members.join(classes.filter("copies > 1"), ["d1", "d2", "n"]).select("doc_id", "rep"), "copies")
+    classes = members.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    same = materialize(members.join(classes, ["d1", "d2", "n"]).filter("doc_id <> rep").select("rep", "doc_id").distinct(), "copies")
 
     # Only documents that are least in their class go on to the buckets.
-    others = same.filter("doc_id <> rep").select("doc_id").distinct()
-    alone = signed.filter("doc_id is not null and size(bands) > 0").join(others, "doc_id", "left_anti")
-    rows = materialize(alone.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "key")), "bands")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    buckets = materialize(rows.join(shared, "key", "left_semi"), "buckets")
-
-    fits = F.expr(f"center <> member and 100 * least(n, center_n) >= {similarity} * greatest(n, center_n)")
-    edges = _candidates(buckets, f"xxhash64(rep, band % {ORDERS})").filter(fits)
-    edges = materialize(edges.groupBy("center", "member").agg(F.min("o").alias("o")), "candidates")
-
-    links = same.filter("doc_id <> rep").select(F.col("rep").alias("center"), F.col("doc_id").alias("member"))
-    tested = None
-    component = None
-    for turn in range(2 + rounds):
-        if turn == 0:
-            todo = edges.groupBy("member").agg(F.min(F.struct("o", "center")).alias("c")).select("c.center", "member")
-        elif turn == 1:
-            todo = edges.select("center", "member")
-        else:
-            todo = _further(buckets, component, turn).filter(fits).select("center", "member").distinct()
-        if component is not None:
-            a = component.select(F.col("node").alias("center"), F.col("component").alias("ca"))
-            b = component.select(F.col("node").alias("member"), F.col("component").alias("cb"))
-            todo = (todo.join(a, "center", "left").join(b, "member", "left")
-                    .filter("coalesce(ca, center) <> coalesce(cb, member)").select("center", "member"))
-            todo = todo.join(tested, ["center", "member"], "left_anti")
-        todo = materialize(todo, "todo")
-        found = confirm_edges(docs, todo, similarity) if todo.count() else None
-        tested = todo if tested is None else tested.unionByName(todo)
-        links = links if found is None else links.unionByName(found)
-        if found is not None or component is None:
-            new = found is None or found.count() > 0
-            if new or component is None:
-                component = materialize(connected_components(links, "center", "member"), "components")
-            if turn > 1 and not new:
-                break
-        elif turn > 1:
-            break
+    alone = signed.filter("doc_id is not null and size(bands) > 0").join(same.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = materialize(alone.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key")), "bands")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = materialize(rows.join(shared, "key"), "buckets")
+    company = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
+    buckets = materialize(buckets.join(company, "rep"), "company")
+
+    edges = materialize(_candidates(buckets, similarity), "candidates")
+    links = same.select(F.col("rep").alias("center"), F.col("doc_id").alias("member")).unionByName(confirm_edges(docs, edges, similarity))
+    component = materialize(connected_components(links, "center", "member"), "components")
+    further = materialize(_further(buckets, component, similarity).join(edges, ["center", "member"], "left_anti"), "further")
+    if further.count():
+        found = confirm_edges(docs, further, similarity)
+        # Components are nodes of the second round.
+        end = [component.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("center", "member")]
+        merged = found.join(end[0], "center", "left").join(end[1], "member", "left").select(
+            F.coalesce("c_center", "center").alias("a"), F.coalesce("c_member", "member").alias("b"))
+        joined = connected_components(merged, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("final"))
+        new = joined.join(component, "component", "left_anti").select(F.col("component").alias("node"), "final")
+        component = component.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("final")).unionByName(new)
+        component = component.withColumnRenamed("final", "component")
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(
         component.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -229,16 +242,6 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, rounds: int = 4) -> D
         "doc_id", "n_shingles", "component_id", "kept")
 
 
-def _further(buckets: DataFrame, component: DataFrame, turn: int) -> DataFrame:
-    """Edges to new random centres in buckets that hold several components."""
-    named = buckets.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    several = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    named = materialize(named.join(several, "key", "left_semi").select("key", "rep", "n"), "several")
-    both = [_candidates(named, f"xxhash64(rep, key, {turn}, {i})") for i in range(2)]
-    return both[0].unionByName(both[1])
-
-
 def deduplicated(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the least doc_id, once."""
     found = materialize(near_duplicates(docs, similarity), "found")
