@@ -19,48 +19,53 @@ from pyspark.sql import functions as F
 
 from ragtables.session import materialize
 
-PAGE, FANOUT, SUBTREE, QUERIES_PER_BLOCK = 256, 16, 16_384, 50_000
+PAGE, FANOUT, SUBTREE, QUERIES_PER_BLOCK = 2_048, 16, 16_384, 50_000
 MOST_ROUTES = 2_048
 SCALE = 64
 
 
 @dataclass
 class Node:
-    """A page: leaf with ``rows`` (places of vectors) or inner node with ``children``."""
+    """A page: inner node with ``children``, or leaf with its entries side by side, ids ascending."""
 
     center: np.ndarray
     radius: float
     to_parent: float
     largest: float
-    rows: np.ndarray | None = None
-    row_to_center: np.ndarray | None = None
     children: list | None = None
+    vectors: np.ndarray | None = None
+    ids: np.ndarray | None = None
+    norms: np.ndarray | None = None
+    to_center: np.ndarray | None = None
 
 
 def _distances(vectors: np.ndarray, center: np.ndarray) -> np.ndarray:
     return np.sqrt(((vectors - center) ** 2).sum(axis=1))
 
 
-def build(vectors: np.ndarray, norms: np.ndarray, rows: np.ndarray | None = None, parent: np.ndarray | None = None) -> Node:
-    """Tree over the rows: routing vectors are spread by farthest-first choice, each row goes to the nearest one."""
-    rows = np.arange(len(vectors)) if rows is None else rows
-    own = vectors[rows]
-    center = own[len(own) // 2]
-    to_center = _distances(own, center)
-    node = Node(center, float(to_center.max()), 0.0 if parent is None else float(_distances(center[None], parent)[0]),
-                float(norms[rows].max()))
-    if len(rows) <= PAGE or node.radius == 0.0:
-        node.rows, node.row_to_center = rows, to_center
+def build(vectors: np.ndarray, ids: np.ndarray, k: int, parent: np.ndarray | None = None) -> Node:
+    """Tree over vectors with ascending ids: routing vectors are spread by farthest-first choice, each vector goes to the
+    nearest one. A page of equal vectors keeps the k + 1 first ids: all score the same, and a query leaves out itself only.
+    """
+    center = vectors[len(vectors) // 2]
+    to_center = _distances(vectors, center)
+    norms = (vectors**2).sum(axis=1)
+    node = Node(center, float(to_center.max()), 0.0 if parent is None else float(_distances(center[None], parent)[0]), float(norms.max()))
+    if len(vectors) <= PAGE or node.radius == 0.0:
+        own = slice(k + 1) if node.radius == 0.0 else slice(None)
+        # Single precision is exact while every product of two vectors stays below 2^24.
+        kind = np.float32 if node.largest < 1 << 24 else np.float64
+        node.vectors, node.ids, node.norms, node.to_center = vectors[own].astype(kind), ids[own], norms[own], to_center[own]
         return node
-    nearest, owner = to_center, np.zeros(len(rows), np.int64)
+    nearest, owner = to_center, np.zeros(len(vectors), np.int64)
     for number in range(1, FANOUT):
         far = int(nearest.argmax())
         if nearest[far] == 0.0:
             break
-        distance = _distances(own, own[far])
+        distance = _distances(vectors, vectors[far])
         owner[distance < nearest] = number
         nearest = np.minimum(nearest, distance)
-    node.children = [build(vectors, norms, rows[owner == k], center) for k in np.unique(owner)]
+    node.children = [build(vectors[owner == j], ids[owner == j], k, center) for j in np.unique(owner)]
     return node
 
 
@@ -70,11 +75,11 @@ def _bound(query_norm: float, largest, gap) -> np.ndarray:
     return 0.5 * (query_norm + largest - gap * gap) + 1e-6 * (1.0 + query_norm + largest)
 
 
-def search(root: Node, vectors: np.ndarray, ids: np.ndarray, norms: np.ndarray, query: np.ndarray, own_id: int, k: int,
-           least: float) -> list[tuple[int, int]]:
+def search(root: Node, query: np.ndarray, own_id: int, k: int, least: float) -> list[tuple[int, int]]:
     """The best (score, id) of a tree for a query, ties to smaller ids; scores below ``least`` may be left out."""
     query_norm = float(query @ query)
-    best: list[tuple[int, int]] = []  # heap of (score, -id)
+    narrow = query.astype(np.float32) if query_norm < 1 << 24 else query
+    best: list[tuple[float, int]] = []  # heap of (score, -id)
     count = 0
     heap = [(-np.inf, count, root, float(_distances(root.center[None], query)[0]))]
     while heap:
@@ -83,11 +88,8 @@ def search(root: Node, vectors: np.ndarray, ids: np.ndarray, norms: np.ndarray,
         if -bound < floor:
             break
         if node.children is not None:
-            kept = []
-            for child in node.children:
-                # Before its own distance is computed: by the parent's.
-                if _bound(query_norm, child.largest, abs(distance - child.to_parent) - child.radius) >= floor:
-                    kept.append(child)
+            # Before a child's own distance is computed: by the parent's.
+            kept = [c for c in node.children if _bound(query_norm, c.largest, abs(distance - c.to_parent) - c.radius) >= floor]
             if kept:
                 real = _distances(np.stack([c.center for c in kept]), query)
                 for child, d in zip(kept, real.tolist(), strict=True):
@@ -96,25 +98,25 @@ def search(root: Node, vectors: np.ndarray, ids: np.ndarray, norms: np.ndarray,
                         count += 1
                         heapq.heappush(heap, (-score, count, child, d))
             continue
-        rows = node.rows
+        vectors, ids = node.vectors, node.ids
         if floor > -np.inf:
-            rows = rows[_bound(query_norm, norms[rows], np.abs(distance - node.row_to_center)) >= floor]
-        scores = vectors[rows] @ query
-        if len(best) == k:
-            hopeful = scores >= floor
-            rows, scores = rows[hopeful], scores[hopeful]
-        if len(rows) > k + 1:
-            order = np.lexsort((ids[rows], -scores))[: k + 1]
-            rows, scores = rows[order], scores[order]
-        for score, number in zip(scores.tolist(), ids[rows].tolist(), strict=True):
+            hopeful = _bound(query_norm, node.norms, np.abs(distance - node.to_center)) >= floor
+            if 2 * np.count_nonzero(hopeful) < len(ids):
+                vectors, ids = vectors[hopeful], ids[hopeful]
+        scores = vectors @ (narrow if vectors.dtype == np.float32 else query)
+        level = floor
+        if len(scores) > k + 1:
+            level = max(level, float(np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]))
+        for place in np.flatnonzero(scores >= level).tolist():
+            number = int(ids[place])
             if number == own_id:
                 continue
-            entry = (score, -number)
+            entry = (float(scores[place]), -number)
             if len(best) < k:
                 heapq.heappush(best, entry)
             elif entry > best[0]:
                 heapq.heapreplace(best, entry)
-    return [(s, -i) for s, i in sorted(best, reverse=True)]
+    return [(int(s), -i) for s, i in sorted(best, reverse=True)]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -142,7 +144,7 @@ _HITS = "query_id long, vec_id long, score long"
 def _search(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted: the vectors of a subtree, then the queries that ask it."""
-        place, vectors, ids, tree, data = None, [], [], None, None
+        place, vectors, ids, tree = None, [], [], None
         for batch in batches:
             where = batch.column("subtree").to_numpy()
             block = batch.column("block").to_numpy()
@@ -165,11 +167,11 @@ def _search(k: int, width: int):
                     continue
                 if tree is None:
                     v, i = np.concatenate(vectors), np.concatenate(ids)
-                    data = (v, i, (v**2).sum(axis=1))
-                    tree = build(v, data[2])
+                    order = np.argsort(i, kind="stable")
+                    tree = build(v[order], i[order], k)
                 for q, number, least in zip(values, numbers.tolist(), part.column("least").to_pylist(), strict=True):
-                    for score, other in search(tree, *data, q, number, k, -np.inf if least is None else least):
-                        found.append((number, other, int(score)))
+                    for score, other in search(tree, q, number, k, -np.inf if least is None else least):
+                        found.append((number, other, score))
             if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=[c.split()[0] for c in _HITS.split(", ")])
 

@@ -7,12 +7,17 @@ has the place of the block in the whole corpus as range and number, and a checks
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,12 +29,50 @@ from ragtables.session import materialize, scratch_path
 MAGIC = b"EFTOK1"
 _HEAD = "<6sBxIIIQIqI"
 BLOCK_IDS = 2 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 END_ID = 2
 
 
+# Fixed values of byte-level vocabularies: the pattern that cuts text, and the characters that stand for bytes.
+CUT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+PLAIN = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+#: Beyond this character the pattern is left to the library, whose Unicode tables may differ.
+LAST_CUT = "\u024f"
+
+
+class Pieces(dict):
+    """Ids of the pieces of texts between blanks, encoded by the library when first met.
+
+    A piece is "\\0" and a word at the start of a text, a line end and a word, or a word after a single blank.
+    Others are a KeyError.
+    """
+
+    def __init__(self, tokenizer, kind: str):
+        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+        self.stems: dict[str, bytes] = {}
+        rest = iter(range(0x100, 0x200))
+        self.letters = {i: i if i in PLAIN else next(rest) for i in range(256)}
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.removeprefix("\0").removeprefix("\n")
+        if word.split() != [word]:
+            raise KeyError(piece)
+        text = piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
+        if max(text) > LAST_CUT:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        else:
+            ids = b"".join([self.stems.get(t) or self._stem(t) for t in CUT.findall(text)])
+        self[piece] = ids
+        return ids
+
+    def _stem(self, text: str) -> bytes:
+        letters = text.encode().decode("latin-1").translate(self.letters)
+        ids = self.stems[text] = array("H" if self.kind == "<u2" else "I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, with the pieces between blanks encoded once.
+    """Ids of whole texts by the tokenizers library, with the pieces between blanks encoded once per worker process.
 
     For byte-level vocabularies whose words begin with their single blank: a text is cut before each single blank
     between other characters, where its words are cut anyway. A text with any other run of blanks goes to the library
@@ -39,38 +82,37 @@ class WordEncoder:
     def __init__(self, tokenizer, kind: str):
         self.tokenizer, self.kind = tokenizer, kind
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces = Pieces(tokenizer, kind)
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces.clear()
+            self.pieces.stems.clear()
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
             return self.pieces["\0" + first] + b"".join(map(self.pieces.__getitem__, rest))
-        except KeyError:
-            pass
-        missing = set(rest) - self.pieces.keys()
-        if first.split() != [first] or any(p.removeprefix("\n").split() != [p.removeprefix("\n")] for p in missing):
-            return self._encode([text])[0]
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces.clear()
-            missing = set(rest)
-        wanted = list(missing)
-        whole = [p if p[0] == "\n" else " " + p for p in wanted]
-        self.pieces.update(zip(["\0" + first, *wanted], self._encode([first, *whole]), strict=True))
-        return self.pieces["\0" + first] + b"".join(map(self.pieces.__getitem__, rest))
+        except KeyError:  # other runs of blanks
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
 def _encoder(vocabulary: str) -> tuple[WordEncoder, str]:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(vocabulary)
-    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-    pre = tokenizer.pre_tokenizer
-    if pre is None or not repr(pre).startswith("ByteLevel(add_prefix_space=False"):
-        raise ValueError("a byte-level vocabulary without a prefix blank is needed")
-    return WordEncoder(tokenizer, kind), kind
+    """The encoder of this worker process; it outlives tasks, so later tasks find the words of earlier ones."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+    if key not in kept:
+        tokenizer = tokenizers.Tokenizer.from_str(vocabulary)
+        kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        pre = json.loads(vocabulary).get("pre_tokenizer") or {}
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError("a byte-level vocabulary without a prefix blank is needed")
+        kept.clear()
+        kept[key] = WordEncoder(tokenizer, kind), kind
+    return kept[key]
 
 
 def pack_block(place: tuple[int, int], doc_ids: list[int | None], parts: list[bytes], kind: str) -> bytes:
@@ -119,7 +161,7 @@ def _pack(vocabulary: str, end_id: int) -> Callable:
             for rows in text_slices(batch):
                 for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
                     docs.append(doc_id)
-                    parts.append((encoder.encode(text) if text else b"") + end)
+                    parts.append(encoder.encode(text) + end)
                     size += len(parts[-1])
                     if size >= BLOCK_IDS * len(end):
                         yield pa.record_batch({"block": pa.array([pack_block((part, number), docs, parts, kind)], pa.binary())})
