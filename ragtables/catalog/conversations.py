@@ -103,7 +103,7 @@ def admit_connections(spark, sf):
                    WHERE q.role = 'user')
     SELECT conv_id, turn, 1 AS seq, 'typing' AS type, '' AS body FROM asked
     UNION ALL SELECT conv_id, turn, 2, CASE WHEN answer IS NULL THEN 'error' ELSE 'message' END,
-                     CASE WHEN answer IS NULL THEN 'AI error: no answer' ELSE trim(answer) END FROM asked
+                     CASE WHEN answer IS NULL THEN 'AI error: no answer' ELSE regexp_replace(answer, '^\s+|\s+$', '', 'g') END FROM asked
     UNION ALL SELECT conv_id, turn, 3, 'typing', '' FROM asked""")
 def ai_reply_events(spark, sf):
     """The next message of the assistant stands for the model's reply."""
@@ -148,7 +148,7 @@ def prompt_projection(spark, sf):
 
 
 @query("conversation_rollup", """
-    SELECT conversation_id, substring(max_by(content, message_id), 1, 100) AS last_message_snippet,
+    SELECT conversation_id, max_by(content, message_id) AS last_message_snippet,
            CAST(max(created_at) AS STRING) AS last_message_at, count(*) AS n_messages
     FROM v_messages GROUP BY conversation_id""")
 def conversation_rollup(spark, sf):

@@ -58,10 +58,10 @@ MERGED = """SELECT conv_id AS file_id, string_agg(text, chr(10)||chr(10) ORDER B
 
 
 @query("merge_parts", f"""
-    SELECT file_id, 0 AS block_no, length(text) AS n_chars, sha256(text) AS text_hash FROM ({MERGED}) x""")
+    SELECT file_id, length(text) AS n_chars, sha256(text) AS text_hash FROM ({MERGED}) x""")
 def merge_parts(spark, sf):
     return S.merge_parts(_parts(spark, sf)).select(
-        "file_id", "block_no", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+        "file_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
 def _cleaned_parts(spark, sf):

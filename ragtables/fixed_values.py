@@ -62,5 +62,6 @@ ERR_FILE_MISSING = "File upload was not completed. Please re-upload and try agai
 ERR_FILE_TYPE = "Unsupported file type"
 ERR_FILE_SHORT = "File content too short after loading the data from file"
 ERR_PAGE_SHORT = "Page content too short after fallback extraction/cleaning"
+ERR_PAGE_PARSE = "Error parsing page"
 ERR_PAGE_FETCH = "Failed to fetch URL"
 ERR_PAGE_TYPE = "Unsupported content-type"

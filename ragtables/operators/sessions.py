@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragtables.functions.text import strip
+
 ORDER = ("ts", "event_id")
 
 
@@ -141,7 +143,7 @@ def ai_reply_events(messages: DataFrame) -> DataFrame:
 
     failed = F.col("answer").isNull()
     reply_kind = F.when(failed, "error").otherwise("message")
-    reply = F.when(failed, F.concat(F.lit("AI error: "), F.coalesce("error", F.lit("")))).otherwise(F.trim("answer"))
+    reply = F.when(failed, F.concat(F.lit("AI error: "), F.coalesce("error", F.lit("")))).otherwise(strip(F.col("answer")))
     none = F.lit(None).cast("string")
     events = F.array(event(1, F.lit("typing"), none, True), event(2, reply_kind, reply, None),
                      event(3, F.lit("typing"), none, False))
@@ -149,9 +151,9 @@ def ai_reply_events(messages: DataFrame) -> DataFrame:
     return messages.select(*rest, F.explode(events).alias("e")).select(*rest, "e.*")
 
 
-def conversation_rollup(messages: DataFrame, snippet_chars: int = 100) -> DataFrame:
+def conversation_rollup(messages: DataFrame) -> DataFrame:
     """Last message of each conversation, as one aggregate with map-side combine."""
-    last = F.max_by(F.substring("content", 1, snippet_chars), F.struct("created_at", "message_id"))
+    last = F.max_by("content", F.struct("created_at", "message_id"))
     return messages.groupBy("conversation_id").agg(
         last.alias("last_message_snippet"), F.max("created_at").alias("last_message_at"),
         F.count("*").alias("n_messages"))

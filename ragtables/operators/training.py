@@ -79,6 +79,7 @@ def chunk_provenance(chunks: DataFrame, chunk_size: int = CHUNK_SIZE, chunk_over
         "token_count": count_tokens(F.col("content")),
         "embedding_model": F.lit(EMBEDDING_MODEL), "embedding_version": F.lit(EMBEDDING_VERSION),
         "embedding_provider": F.lit(EMBEDDING_PROVIDER), "is_active": F.lit(False),
+        "deleted_at": F.lit(None).cast("timestamp"),
     })
     return out.withColumn("document_id", natural_id(*[F.col(c) for c in CHUNK_KEY]))
 

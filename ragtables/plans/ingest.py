@@ -16,7 +16,7 @@ from ragtables.fixed_values import (
     CHUNK_OVERLAP, CHUNK_SIZE, EMBEDDING_DIMENSIONS, ERR_FILE_MISSING, ERR_PAGE_FETCH, ERR_PAGE_SHORT,
 )
 from ragtables.functions.text import clean_text
-from ragtables.operators.bounded import MAX_BROADCAST_ROWS
+from ragtables.operators.bounded import broadcast_if_small
 from ragtables.operators.chunking import chunk_documents
 from ragtables.operators.embedding import Embedder, embed_chunks
 from ragtables.operators.filters import is_url, min_length_gate, source_errors
@@ -43,7 +43,7 @@ class Texts(NamedTuple):
 
 
 class Ingested(NamedTuple):
-    """New chunk rows, their vectors, and (source_id, error_message) of every source."""
+    """New chunk rows, active and not deleted, to be stored after their vectors; these vectors; and (source_id, error_message) of every source."""
 
     chunks: DataFrame
     vectors: DataFrame
@@ -53,20 +53,19 @@ class Ingested(NamedTuple):
 def url_sources(sources: DataFrame, page_texts: DataFrame) -> DataFrame:
     """URL sources with ``n_chars``, ``error_message`` and the page that serves them."""
     page = page_texts.select(F.col("url").alias("source_value"), F.length("text").alias("n_chars"), "reason", "method",
-                             "page_id")
+                             "page_id", "parse_error")
     found = sources.join(page, "source_value", "left")
     error = (F.when(F.col("error_message").isNotNull(), F.col("error_message"))
              .when(F.col("method").isNull(), F.coalesce("reason", F.lit(ERR_PAGE_FETCH)))
-             .when(F.col("method") == "none", F.lit(ERR_PAGE_SHORT)))
+             .when(F.col("method") == "none", F.coalesce("parse_error", F.lit(ERR_PAGE_SHORT))))
     return found.withColumn("error_message", error)
 
 
-def landed_page_texts(sources: DataFrame, pages: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def landed_page_texts(sources: DataFrame, pages: DataFrame) -> DataFrame:
     """(url, page_id, reason, text, method) of the landed pages that sources ask for, one per URL.
 
-    Which page serves a URL is settled on narrow rows; admitted pages come first. HTML never meets a shuffle: a short
-    list of wanted pages is broadcast to the scan, and with a long one all admitted pages are parsed and their texts,
-    far smaller than the HTML, are joined.
+    Which page serves a URL is settled on narrow rows; admitted pages come first. Only wanted pages are parsed: their ids
+    are broadcast to the scan while the measured table allows, else Spark shuffles both sides.
     """
     wanted = sources.select(F.col("source_value").alias("url")).distinct()
     judged = judge_pages(pages)
@@ -74,10 +73,9 @@ def landed_page_texts(sources: DataFrame, pages: DataFrame, max_broadcast: int =
     chosen = materialize(judged.join(wanted, "url", "left_semi").groupBy("url").agg(first)
                          .select("url", "p.page_id", "p.reason"), "chosen")
     admitted = spread(judged.filter(F.col("reason").isNull()).select("page_id", "html"), "page_id")
-    ids = chosen.filter(F.col("reason").isNull()).select("page_id")
-    if ids.count() <= max_broadcast:
-        admitted = admitted.join(F.broadcast(ids), "page_id", "left_semi")
-    texts = page_text_with_fallback(extract_text(admitted)).select("page_id", "text", "method")
+    ids = broadcast_if_small(chosen.filter(F.col("reason").isNull()).select("page_id"))
+    admitted = admitted.join(ids, "page_id", "left_semi")
+    texts = page_text_with_fallback(extract_text(admitted)).select("page_id", "text", "method", "parse_error")
     return chosen.join(texts, "page_id", "left")
 
 
@@ -101,6 +99,9 @@ def ingest_union(sources: DataFrame, pages: DataFrame, files: DataFrame, objects
     checked = source_errors(sources)
     urls, others = checked.filter(is_url(F.col("type"))), checked.filter(~is_url(F.col("type")))
     page_texts = materialize(landed_page_texts(urls, pages), "pages")
+    # Only the parts of files that some source asks for are cleaned.
+    asked = broadcast_if_small(source_file_lookup(others, files).select("file_id").filter("file_id is not null").distinct())
+    parts = parts.join(asked, "file_id", "left_semi")
     # Filtered after the write: a filter on the cleaned text would be pushed below it and clean every part twice.
     file_parts = materialize(parts.withColumn("text", clean_text(F.col("text"))), "parts").filter(F.col("text") != "")
     # A blank line lies between parts, so a file is two characters longer per part after the first.
@@ -128,5 +129,6 @@ def ingest(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: Data
         "file_id.*", F.col("chunk_index").cast("int").alias("chunk_index"), "content")
     chunks = chunk_provenance(of_pages.unionByName(of_files), chunk_size, chunk_overlap)
     fresh = materialize(dedupe_chunk_inserts(chunks, stored_chunks), "chunks")
-    vectors = embed_chunks(fresh, stored_vectors, dimensions, embedder)
-    return Ingested(fresh, vectors, texts.sources.select("source_id", "error_message"))
+    vectors = embed_chunks(fresh, stored_vectors, dimensions, embedder).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    # Each of these chunks has its vector here or in the stored table: they are active once both tables are stored.
+    return Ingested(fresh.withColumn("is_active", F.lit(True)), vectors, texts.sources.select("source_id", "error_message"))

@@ -48,17 +48,18 @@ def stream_ingest(texts: DataFrame, chunk_path: str, vector_path: str, checkpoin
                                   .drop("start")).withColumn("folder", folder_of(F.col("source_id"), folders))
         made = materialize(chunks, "batch")
         touched = [r["folder"] for r in made.select("folder").distinct().collect()]  # at most ``folders`` numbers
-        fresh = dedupe_chunk_inserts(made, _stored(spark, chunk_path, made.schema, touched))
-        fresh.hint("rebalance", "folder").write.mode("append").partitionBy("folder").parquet(chunk_path)
+        fresh = materialize(dedupe_chunk_inserts(made, _stored(spark, chunk_path, made.schema, touched)), "fresh")
         vector_schema = T.StructType([made.schema["document_id"],
                                       T.StructField("embedding", T.ArrayType(T.FloatType())),
                                       T.StructField("deleted_at", T.TimestampType()), made.schema["folder"]])
-        # All stored chunks without vector, not only the fresh ones: a batch that died between the two writes heals.
-        pending = chunks_without_embedding(_stored(spark, chunk_path, made.schema, touched),
-                                           _stored(spark, vector_path, vector_schema, touched))
+        # Vectors first, then chunks, so a stored chunk is active and has its vector. A batch that died in between finds
+        # the vectors when it is repeated and adds the chunks. Of what is stored only keys and ids are read.
+        pending = chunks_without_embedding(fresh, _stored(spark, vector_path, vector_schema, touched))
         vectors = embed(pending.select("document_id", "content", "folder"), "content", "embedding", dimensions, embedder)
         (vectors.select("document_id", "embedding", F.lit(None).cast("timestamp").alias("deleted_at"), "folder")
-         .write.mode("append").partitionBy("folder").parquet(vector_path))
+         .hint("rebalance", "folder").write.mode("append").partitionBy("folder").parquet(vector_path))
+        (fresh.withColumn("is_active", F.lit(True)).hint("rebalance", "folder")
+         .write.mode("append").partitionBy("folder").parquet(chunk_path))
 
     return (texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -109,7 +109,7 @@ def test_html_is_never_shuffled(spark, sf):
 
     sources, pages = _corpus(spark, sf)[:2]
     urls = sources.filter("type = 'url'")
-    few, many = landed_page_texts(urls, pages), landed_page_texts(urls, pages, max_broadcast=0)
+    few = many = landed_page_texts(urls, pages)
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
     for df in (few, many):
         # Between the parser and the scan there is no exchange but the one that gives a one-file table more tasks.
@@ -117,3 +117,27 @@ def test_html_is_never_shuffled(spark, sf):
         below = below[:below.index("FileScan")].split("\n")
         exchanges = [line for line in below if "Exchange" in line and "BroadcastExchange" not in line]
         assert all("REPARTITION_BY_NUM" in line for line in exchanges)
+
+
+def test_null_texts_embed_to_zero_vectors(spark):
+    from ragtables.operators.embedding import embed
+
+    rows = embed(spark.createDataFrame([(1, None), (2, "a b")], "id int, t string"), "t", "v", 8).orderBy("id").collect()
+    assert sum(map(abs, rows[0].v)) == 0 and sum(map(abs, rows[1].v)) > 0
+
+
+def test_ingested_rows_are_active_and_have_all_that_retrieval_needs(spark, sf):
+    """What ingestion returns is searched without any column set by hand."""
+    from ragtables.operators.retrieval import retrieve_topk
+    from ragtables.plans.ingest import ingest
+
+    none = spark.createDataFrame([], "source_id string, chunk_index int, embedding_model string, embedding_version string")
+    vectors = spark.createDataFrame([], "document_id string, embedding array<float>, deleted_at timestamp")
+    sources, pages, files, objects, parts = _corpus(spark, sf)
+    done = ingest(sources.filter("type = 'url'"), pages, files, objects, parts, none, vectors, dimensions=64)
+    chunks, made = done.chunks.cache(), done.vectors.cache()
+    queries = made.join(chunks.select("document_id", "bot_id"), "document_id").select(
+        F.col("document_id").alias("query_id"), "bot_id", F.col("embedding").alias("query_embedding"))
+    best = retrieve_topk(queries, chunks, made, k=1, max_distance=0.5).collect()
+    assert len(best) == queries.filter("aggregate(query_embedding, 0F, (s, x) -> s + x * x) > 0").count() > 0
+    assert max(r.distance for r in best) < 1e-6

@@ -236,12 +236,17 @@ def test_quoted_newline_in_csv(spark, tmp_path):
     assert [r.text for r in read_csv_as_text(spark, str(tmp_path), ["a", "b"]).collect()] == ["a: one\ntwo\nb: x"]
 
 
-def test_merging_leaves_out_empty_parts_and_keeps_long_files_in_blocks(spark):
+def test_merging_leaves_out_empty_parts_and_gives_one_text_per_file(spark):
     parts = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, ""), (2, 0, None)]
                                   + [(3, i, f"p{i}") for i in range(700)], "file_id int, part_no int, text string")
-    got = {(r.file_id, r.block_no): r.text for r in merge_parts(parts).collect()}
-    assert got[1, 0] == "a\n\nc" and (2, 0) not in got
-    assert "\n\n".join(got[3, b] for b in range(3)) == "\n\n".join(f"p{i}" for i in range(700))
+    got = {r.file_id: r.text for r in merge_parts(parts).collect()}
+    assert got == {1: "a\n\nc", 3: "\n\n".join(f"p{i}" for i in range(700))}
+
+
+def test_parts_of_csv_files_merge(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n\t1 ,"x\n"\n2,y\n')
+    parts = read_csv_as_text(spark, str(tmp_path), ["a", "b"]).withColumnRenamed("path", "file_id")
+    assert [r.text for r in merge_parts(parts).collect()] == ["a: 1\nb: x\n\na: 2\nb: y"]
 
 
 def test_listing(spark, tmp_path):

@@ -106,3 +106,12 @@ def test_replies(spark):
     assert got == [(1, 1, "typing", None, True), (1, 2, "message", "answer", None), (1, 3, "typing", None, False),
                    (2, 1, "typing", None, True), (2, 2, "error", "AI error: quota", None),
                    (2, 3, "typing", None, False)]
+
+
+def test_replies_and_last_messages_keep_whole_texts(spark):
+    from ragtables.operators.sessions import ai_reply_events, conversation_rollup
+
+    asked = spark.createDataFrame([(1, "\t hi \n", None)], "id int, answer string, error string")
+    assert [r.body for r in ai_reply_events(asked).collect()] == [None, "hi", None]
+    messages = spark.createDataFrame([("c", 1, 1, "x" * 300)], "conversation_id string, message_id int, created_at int, content string")
+    assert conversation_rollup(messages).first().last_message_snippet == "x" * 300
