@@ -85,10 +85,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document taken in part keeps its first words, joined by spaces, and n_chars follows the text. Documents without
     words are not taken. Rows that agree in doc_id, source and size are told apart by an order of their texts.
     """
-    plan = materialize(mix(sized(docs)).filter("taken > 0").select(_row_key().alias("row"), "size", "taken"), "plan")
+    plan = materialize(mix(sized(docs)).filter("taken > 0").select(_row_key(F.col("size")).alias("row"), "size", "taken"), "plan")
     several = materialize(plan.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row"), "several")
     size = F.size(words_of(F.col("text"))).cast("long")
-    keyed = docs.withColumn("size", size).withColumn("row__", _row_key()).drop("size")
+    keyed = docs.withColumn("row__", _row_key(size))
     if not several.count():
         return _taken(keyed, broadcast_checked(plan, "plan", row_bytes=48), docs.columns)
     once = _taken(keyed, plan.join(several, "row", "left_anti"), docs.columns)
@@ -100,8 +100,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return once.unionByName(_taken(rows, more, docs.columns))
 
 
-def _row_key():
-    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "size")
+def _row_key(size):
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), size)
 
 
 def _taken(rows: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:

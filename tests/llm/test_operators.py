@@ -1,0 +1,287 @@
+"""Operators beside plain versions, on small tables with nulls, empties, repeats and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from ragtables.llm import hmm, mtree, near_dedup, secrets, token_files, warc
+from ragtables.llm.decontamination import contaminated, without_contaminated
+from ragtables.llm.elias_fano import EliasFano, encode
+from ragtables.llm.hmm_lm import score_texts
+from ragtables.llm.main_text import extract_pages
+from ragtables.llm.mixing import mix, mixed_documents, sized
+from ragtables.llm.quality import score_quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BASE = " ".join(f"w{i}" for i in range(60))
+EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, BASE), (7, BASE.upper()), (8, BASE + " tail"), (8, BASE + " tail"),
+        (9, "x " * 5000 + "end"), (None, BASE), (10, BASE.replace("w30", "v")), (11, "a b a b a"), (12, "é ü ß 日本")]
+SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, size long, key string, n string"
+
+
+def docs(spark, rows=EDGE):
+    return spark.createDataFrame([(d, t, None if d == 4 else f"s{(d or 0) % 4}", "en", len(t or ""), 7, "k", "n") for d, t in rows], SCHEMA)
+
+
+def plain_documents(sf):
+    return duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+def test_elias_fano_finds_every_value():
+    rng = np.random.default_rng(1)
+    for n, last in ((0, 1), (1, 0), (3, 2**40), (700, 5), (1000, 10**7)):
+        values = np.sort(rng.integers(0, last + 1, n))
+        data = encode(values)
+        view = EliasFano(b"xx" + data, 2)
+        assert view.end == len(data) + 2 and (view.decode() == values).all()
+        assert [view.select(i) for i in range(n)] == values.tolist()
+        with pytest.raises(IndexError):
+            view.select(n)
+    assert len(encode(np.arange(0, 10**6, 100))) < 10**4 * 10 / 8 * 1.2 + 60
+
+
+def test_token_files_hold_the_ids_of_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = ["a b", "  a", "a  b", "a \nb", "a\n\nb", "a\tb\r\n", " x", "x ", "\n", "é 日本\nc", "<|endoftext|> a", "I'll don't  ", None, ""]
+    rows = EDGE + [(100 + i, t) for i, t in enumerate(texts)]
+    got = token_files.token_files(docs(spark, rows), path, f"{tmp_path}/t").collect()
+    want = [(d, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in rows]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted(
+        (d or 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, ids in want)
+    start = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    ids = [r.doc_id or 0 for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids)
+    assert token_files.token_files(docs(spark, []), path).count() == 0
+
+
+def test_damaged_token_file_is_an_error():
+    block = bytearray(token_files.pack_block((0, 0), [None, 5], [b"\1\0\2\0", b"\2\0"], "<u2"))
+    read = token_files.Block(bytes(block) + b"\n")
+    assert read.doc_ids() == [None, 5] and read.ids(0).tolist() == [1, 2] and read.ids(1).tolist() == [2]
+    block[-1] ^= 1
+    with pytest.raises(ValueError):
+        token_files.Block(bytes(block))
+
+
+def components(rows):
+    sets = {}
+    for d, t in rows:
+        words = WORD.findall((t or "").translate(LOWER))
+        if d is not None:
+            sets.setdefault(d, []).append(set(zip(words, words[1:])) if len(words) > 1 else set(words))
+    name = {d: d for d in sets}
+
+    def root(d):
+        return d if name[d] == d else root(name[d])
+
+    for a, b in itertools.combinations(sets, 2):
+        if any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+            x, y = sorted((root(a), root(b)))
+            name[y] = x
+    return {d: root(d) for d in sets}
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark, sf):
+    for rows, table in ((EDGE, docs(spark)), (plain_documents(sf), spark.read.parquet(f"{sf}/documents.parquet"))):
+        got = near_dedup.near_duplicates(table).collect()
+        want = components(rows)
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    kept = near_dedup.deduplicated(docs(spark))
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 9, 11, 12] and kept.columns == docs(spark).columns
+    assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_a_spread_group_hangs_together_by_its_original(spark):
+    """Copies that are near the original and far from each other."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 120):
+        rng = np.random.default_rng(i)
+        copy = list(words)
+        for place in rng.choice(200, 9, replace=False):
+            copy[place] = f"c{i}_{place}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == components(rows)
+
+
+def test_densified_signatures_estimate_similarity():
+    probes = near_dedup.probe_table()
+    rng = np.random.default_rng(3)
+    for size in (6, 40, 2000):
+        common = rng.integers(0, 2**63, size * 8 // 10).astype(np.uint64)
+        a, b = (np.unique(np.concatenate((common, rng.integers(0, 2**63, size // 10 or 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)))) for _ in "ab")
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs((near_dedup.signature(a, probes) == near_dedup.signature(b, probes)).mean() - true) < 0.35
+
+
+def test_contaminated_documents(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    changed = item.split()
+    changed[3], changed[11], changed[17] = "x", "y", "z"
+    few = item.split()
+    few[::3] = ["q"] * len(few[::3])
+    rows = [(1, f"pre {item.upper()} post"), (2, " ".join(changed)), (3, " ".join(few)), (4, None), (5, ""), (None, item),
+            (6, " ".join(item.split()[:12])), (7, "four words are short"), (8, item + " " + item), (8, "clean")]
+    bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "four words are short", "x"), (None, item, "x")], "item_id long, text string, doc_id string")
+    got = {(r.doc_id, r.item_id): r.matched for r in contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): 20, (2, 1): 17, (8, 1): 20}
+    left = without_contaminated(docs(spark, rows), bench)
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 3, 4, 5, 6, 7] and left.columns == docs(spark).columns
+    assert contaminated(docs(spark, []), bench).count() == 0 and contaminated(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_mix_takes_what_the_targets_say(spark):
+    table = docs(spark, [(i, "w " * (i % 13)) for i in range(400)] + [(1, None), (None, "a b")])
+    rows = mix(sized(table)).collect()
+    per = {}
+    for r in rows:
+        total, target, taken = per.get(r.source, (0, r.target, 0))
+        per[r.source] = (total + r.size, target, taken + r.taken)
+        assert 0 <= r.taken <= 3 * r.size
+    for total, target, taken in per.values():
+        assert taken == round(target) and target <= 3 * total + 1e-6
+    assert math.isclose(sum(t for _, t, _ in per.values()), sum(t for t, _, _ in per.values()))
+    assert sorted(map(str, rows)) == sorted(map(str, mix(sized(table.repartition(7))).collect()))
+    out = mixed_documents(table)
+    assert out.columns == table.columns
+    words = out.select(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))).first()[0]
+    assert words == sum(r.taken for r in rows)
+    assert mix(sized(docs(spark, []))).count() == 0
+
+
+def test_quality_learns_from_other_documents(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 99, 50)) + ".") if i % 3 else (i, " ".join(f"W{k}!!" for k in rng.integers(0, 5, 50)))
+            for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, "x") for i, _ in rows] + [(7, None, 0, "x"), (None, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    got = score_quality(docs(spark, rows + EDGE), labels).collect()
+    assert len(got) == len(rows) + len(EDGE) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    held = [r for r in got[:300] if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+    assert sum(r.predicted == int(r.doc_id % 3 > 0) for r in held) >= 0.95 * len(held)
+    assert {r.score for r in score_quality(docs(spark), labels.limit(0)).collect()} == {0.5}
+    assert score_quality(docs(spark, []), labels).count() == 0
+
+
+def test_language_model_counts_and_probabilities(spark, sf):
+    rows = plain_documents(sf)
+    tokens = {d: [*WORD.findall((t or "").translate(LOWER)), "\n"] for d, t in rows}
+    train = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = {}
+    for d in train:
+        for w in tokens[d]:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    got = score_texts(spark.read.parquet(f"{sf}/documents.parquet"), head_words=500, states=4, passes=2).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (r.doc_id not in train) and r.train_tokens == n and r.n_tokens == len(tokens[r.doc_id])
+        assert r.n_known == sum(w in counts for w in tokens[r.doc_id])
+        assert math.isclose(r.base_score, sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in tokens[r.doc_id]), rel_tol=1e-9)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    edge = score_texts(docs(spark), head_words=5, states=2, passes=1).collect()
+    assert len(edge) == len(EDGE) and all(r.score < 0 for r in edge)
+    assert score_texts(docs(spark, [])).count() == 0
+
+
+def test_forward_recursion_sums_over_all_paths():
+    rng = np.random.default_rng(2)
+    model = hmm.Model(*(x / x.sum(axis=-1 if x.ndim < 2 or x.shape[0] == 3 else 0, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((4, 3)))))
+    symbols, starts, lengths = np.array([0, 3, 1, 2, 2, 0]), np.array([0, 4]), np.array([4, 2])
+    for got, (a, n) in zip(hmm.log_likelihood(model, symbols, starts, lengths), zip(starts, lengths)):
+        total = 0.0
+        for path in itertools.product(range(3), repeat=int(n)):
+            p = model.start[path[0]] * model.emissions[symbols[a], path[0]]
+            for t in range(1, n):
+                p *= model.moves[path[t - 1], path[t]] * model.emissions[symbols[a + t], path[t]]
+            total += p
+        assert math.isclose(math.exp(got), total, rel_tol=1e-9)
+    counts, likelihood = hmm.expected_counts(model, symbols, starts, lengths)
+    assert math.isclose(likelihood, hmm.log_likelihood(model, symbols, starts, lengths).sum(), rel_tol=1e-4)
+    assert math.isclose(counts.emissions.sum(), 6, rel_tol=1e-4) and math.isclose(counts.moves.sum(), 4, rel_tol=1e-4)
+
+
+def test_secrets(spark):
+    random = "q7Zr9Xk2Lm5Tp8Wc3Vb6Ny1Hd4Gf0Js"
+    rows = [(1, f'é password = "hunter22" x AKIA{"Z9" * 8} {"0a" * 12} token: ab {random}'), (2, None), (3, ""), (None, "secret=abcdef"),
+            (4, "123e4567-e89b-12d3-a456-426614174000 donaudampfschifffahrtsgesellschaft")]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    text = rows[0][1]
+    at = {k: text.index(x) for k, x in (("assign", "password"), ("access", "AKIA"), ("hex", "0a0a"), ("entropy", random))}
+    base = [f"assign:{at['assign']}:{at['assign'] + 20}", f"access:{at['access']}:{at['access'] + 20}", f"hex:{at['hex']}:{at['hex'] + 24}"]
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (1, 1, 1)
+    assert got[1].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert got[1].spans == ",".join([*base, f"entropy:{at['entropy']}:{at['entropy'] + len(random)}"])
+    assert got[None].n_assign == 1 and got[4].spans == "" and got[2].spans == got[3].spans == ""
+    for s in ("aaaabbbb" * 5, random * 2):
+        brute = [i for i in range(len(s) - 19) if -sum(c / 20 * math.log2(c / 20) for c in map(s[i : i + 20].count, set(s[i : i + 20]))) >= 3.5]
+        covered = sorted({p for i in brute for p in range(i, i + 20)})
+        assert [p for a, b in secrets.entropy_windows(s, 20, 3.5) for p in range(a, b)] == covered
+
+
+def test_archive_round_trip(spark, tmp_path):
+    rows = [(1, "http://a", "x"), (2, "http://b", "y"), (3, "http://c", "x"), (4, None, None), (5, "u", ""), (None, "n", "x"), (2, "http://b", "y"), (6, "é", "é" * 9999)]
+    pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string")
+    warc.write_archive(pages, f"{tmp_path}/w")
+    assert spark.read.parquet(f"{tmp_path}/w/payloads").count() == 4
+    got = warc.read_archive(spark, f"{tmp_path}/w").collect()
+    assert sorted((r.page_id or 0, r.payload.decode(), r.record_type, r.refers_to or 0) for r in got) == sorted(
+        [(1, "x", "response", 0), (2, "y", "response", 0), (2, "y", "response", 0), (3, "x", "revisit", 1), (4, "", "response", 0), (5, "", "revisit", 4),
+         (0, "x", "revisit", 1), (6, "é" * 9999, "response", 0)])
+    assert all(r.record.startswith(b"WARC/1.1\r\n") and r.record.endswith(b"\r\n\r\n") for r in got)
+    assert warc.archive(pages.limit(0)).count() == 0
+
+
+def test_search_is_exact(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate((rng.integers(-9, 9, (600, 6)), np.tile([5, 5, 5, 0, 0, 0], (300, 1))))
+    ids = rng.permutation(2000)[:900]
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, values)] + [(int(ids[0]), values[0].tolist())], "vec_id long, v array<long>")
+    got = {}
+    for r in mtree.top_inner_products(table, table.filter("vec_id % 20 = 0"), k=7, subtree=100).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, v in zip(ids.tolist(), values):
+        if q % 20 == 0:
+            best = sorted((-int(x @ v), i) for i, x in zip(ids.tolist(), values) if i != q)[:7]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    odd = spark.createDataFrame([(1, None), (2, [1.0, float("nan")]), (3, [None, 1.0]), (4, [])], "vec_id long, embedding array<float>")
+    assert mtree.quantized(odd).count() == 0 and mtree.top_inner_products(mtree.quantized(odd), mtree.quantized(odd)).count() == 0
+
+
+def test_main_text_of_known_and_unknown_layouts(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    other = """<body><header class="site"><p>Site name</p></header><div class="menu"><a href=/>Home</a></div><div class="cookie-notice">We use cookies.</div>
+        <div class="post-content"><h1>The  title &amp; more</h1><p>First long paragraph of the text, with many words in it.<p>Second paragraph, which
+        has a <b>bold</b> part and ends here.</div><div class="ad">Buy this now.</div><section class="comments"><p>I like this long text very much indeed.</p></section>
+        <form><p>Your name</p></form><footer><p>Copyright us</p></footer></body>"""
+    extra = spark.createDataFrame([(-1, "u", other), (-2, None, None), (-3, "u", ""), (-4, "u", "<![foo[ x ]]><script>if (a<b) {}")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in extract_pages(pages.unionByName(extra).withColumn("text", F.lit(1))).collect()}
+    assert got[-1].text == ("The title & more\n\nFirst long paragraph of the text, with many words in it.\n\n"
+                            "Second paragraph, which has a bold part and ends here.")
+    assert got[-2].text == got[-3].text == got[-4].text == "" and got[-1].n_chars == len(got[-1].text)
+    for r in pages.limit(20).collect():
+        inner = re.sub(r"</?(b|br)>", "", re.search("<article>(.*)</article>", r.html, re.S)[1])
+        import html
+        blocks = [" ".join(html.unescape(b).split()) for b in re.split("</?(?:p|h1)>", inner)]
+        assert got[r.page_id].text == "\n\n".join(b for b in blocks if b)
+    assert extract_pages(pages.limit(0)).count() == 0
