@@ -24,7 +24,7 @@ from ragtables.llm.words import word_hashes
 from ragtables.session import materialize
 
 HEAD_WORDS, STATES, PASSES = 16_384, 8, 3
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
 #: The starting point is fitted on so many whole texts of one chunk, in so many rounds; training uses all texts.
 FIRST_TEXTS, FIRST_ROUNDS = 400, 12
 BANDS = 48
@@ -253,7 +253,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     prior = (share + 0.01) / (share + 0.01).sum()
 
     model = hmm.estimate(hmm.Counts(np.zeros(states), np.zeros((states, states)), np.zeros((alphabet.size, states))), prior)
-    first = known.filter("exists(train, t -> t)").orderBy("chunk").limit(1).mapInArrow(_first(alphabet, prior, states), _schema(states)).collect()
+    chosen = known.filter("exists(train, t -> t)").agg(F.min("chunk")).first()[0]
+    first = [] if chosen is None else known.filter(F.col("chunk") == chosen).mapInArrow(_first(alphabet, prior, states), _schema(states)).collect()
     if first:
         model, _ = _model_of(first, prior, states)
         for _ in range(passes):
