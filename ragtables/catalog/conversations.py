@@ -97,7 +97,7 @@ def admit_connections(spark, sf):
     return judged.select("event_id", "conversation_id", "decision")
 
 
-@query("ai_reply_events", """
+@query("ai_reply_events", r"""
     WITH asked AS (SELECT q.conv_id, q.turn, a.text AS answer FROM conversations q LEFT JOIN conversations a
                        ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
                    WHERE q.role = 'user')
