@@ -38,7 +38,10 @@ def words_of(column):
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of bounded text size (a longer text is a run of its own); null texts become empty."""
+    """The rows of a batch in runs of bounded text size (a longer text is a run of its own); null texts become empty.
+
+    After the last run the memory of earlier batches goes back to the system, as workers stay for later stages.
+    """
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     at = batch.schema.get_field_index(column)
     batch = batch.set_column(at, column, texts)
@@ -49,6 +52,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SL
         last = min(max(last, first + 1), len(texts))
         yield batch.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:

@@ -27,7 +27,8 @@ def held_out(doc_id) -> bool:
 
 
 def _class_counts(data: np.ndarray, offsets: np.ndarray, members: np.ndarray) -> np.ndarray:
-    sums = np.concatenate(([0], np.cumsum(members[data], dtype=np.int64)))
+    sums = np.zeros(len(data) + 1, np.int32)  # a cell has less than 2^31 bytes
+    np.cumsum(members[data], dtype=np.int32, out=sums[1:])
     return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(float)
 
 
