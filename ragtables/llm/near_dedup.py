@@ -3,12 +3,14 @@
 A document's set holds the distinct shingles of two words (A-Z in lower case). One 64-bit hash per shingle fills all
 bins: the top bits choose the bin, the least hash of a bin is its value, and an empty bin copies the value of a filled
 bin that its own sequence of random probes meets first. Bands of the bins are bucket keys. In a bucket only edges to
-centres are made, so their number is linear in the bucket. Every edge is confirmed on the full sets.
+centres are made, so their number is linear in the bucket. Every edge is confirmed on the full sets. Members that the
+stars leave in different components are then compared inside the tasks, which give out links only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from ragtables.session import materialize
 
 BINS_LOG2, ROWS, MEMBERS_PER_SALT = 8, 6, 4096
 CENTERS, SMALL = 4, 5
+#: Most members of a cell on average, shingles of its outer ones, and members compared at once.
+OUTER, MEMBERS, OUTER_SHINGLES, BLOCK = 512, 512, 1 << 20, 64
 BINS = 1 << BINS_LOG2
 BANDS = BINS // ROWS
 _SINGLE = np.uint64(0xA0761D6478BD642F)
@@ -179,18 +183,120 @@ def _fitting(edges: DataFrame, similarity: int) -> DataFrame:
     return edges.filter(f"100 * least(n, cn) >= {similarity} * greatest(n, cn)").select("center", "member").distinct()
 
 
-def _further(buckets: DataFrame, component: DataFrame, similarity: int) -> DataFrame:
-    """(center, member) for buckets of several components: the first member outside the largest one with all others."""
-    named = buckets.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
+def _sketches(sets: list[np.ndarray], probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One byte per bin and the bucket keys of non-empty sets."""
+    signatures = np.stack([signature(s, probes) for s in sets])
+    return (mix(signatures) & np.uint64(255)).astype(np.uint8), band_keys(signatures).view(np.int64)
+
+
+def _least_agreement(n: np.ndarray, similarity: int) -> np.ndarray:
+    """Share of equal bytes that linked sets reach, but for six standard deviations; ``n`` is the size of the smaller."""
+    return similarity / 100 - 6 * 0.4 / np.sqrt(np.minimum(n, BINS))
+
+
+@dataclass
+class _Side:
+    """Members of a cell: ids, components, whether they are outer ones, sets, sketches and bucket keys."""
+
+    rep: np.ndarray
+    component: np.ndarray
+    outer: np.ndarray
+    sets: list[np.ndarray]
+    sketch: np.ndarray
+    keys: np.ndarray
+
+    def part(self, a: int, b: int) -> _Side:
+        return _Side(self.rep[a:b], self.component[a:b], self.outer[a:b], self.sets[a:b], self.sketch[a:b], self.keys[a:b])
+
+    @staticmethod
+    def of(sides: list[_Side]) -> _Side:
+        join = [np.concatenate([getattr(s, f) for s in sides]) for f in ("rep", "component", "outer", "sketch", "keys")]
+        return _Side(*join[:3], [x for s in sides for x in s.sets], *join[3:])
+
+
+def _links_between(own: _Side, other: _Side, key: int, joined: set[tuple[int, int]], similarity: int) -> Iterator[tuple[int, int]]:
+    """Links of outer members with others of the bucket ``key``, one for each pair of components.
+
+    Sizes, then sketches, then the full sets decide. A pair is looked at in the first bucket that it shares, and a pair
+    of outer members from the side of the lesser id.
+    """
+    sizes = [np.array([len(x) for x in side.sets]) for side in (own, other)]
+    less, more = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+    fit = (100 * less >= similarity * more) & (own.component[:, None] != other.component)
+    fit &= ~(other.outer & (other.rep < own.rep[:, None]))
+    agreement = (own.sketch[:, None, :] == other.sketch).mean(axis=2)
+    i, j = np.nonzero(fit & (agreement >= _least_agreement(less, similarity)))
+    shared = own.keys[i] == other.keys[j]
+    first = own.keys[i, shared.argmax(axis=1)] == key
+    for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        ends = int(own.component[a]), int(other.component[b])
+        if ends in joined:
+            continue
+        common = len(np.intersect1d(own.sets[a], other.sets[b], assume_unique=True))
+        if 100 * common >= similarity * (sizes[0][a] + sizes[1][b] - common):
+            joined.add(ends)
+            yield int(own.rep[a]), int(other.rep[b])
+
+
+def _compare(similarity: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: the outer members of a cell, then those they are compared with."""
+        probes, cell, own, joined = probe_table(), None, [], set()
+        for batch in batches:
+            for part in text_slices(batch):
+                sets = shingle_sets(*text_bytes(part.column("text")))
+                part, sets = part.filter(pa.array([len(x) > 0 for x in sets])), [x for x in sets if len(x)]
+                if not sets:  # rows that share a doc_id can have other texts
+                    continue
+                columns = [part.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "outer")]
+                rows = _Side(*columns, sets, *_sketches(sets, probes))
+                places = np.stack([part.column(c).to_numpy() for c in ("key", "tile", "salt", "kind")])
+                borders = 1 + np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0))
+                linked = []
+                for a, b in zip([0, *borders], [*borders, len(sets)], strict=True):
+                    *here, kind = places[:, a].tolist()
+                    if here != cell:
+                        cell, own, joined = here, [], set()
+                    if kind == 0:
+                        own.append(rows.part(a, b))
+                    elif own:
+                        own = [_Side.of(own)] if len(own) > 1 else own
+                        for low in range(a, b, BLOCK):
+                            linked.extend(_links_between(own[0], rows.part(low, min(low + BLOCK, b)), here[0], joined, similarity))
+                if linked:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*linked, strict=True)], schema=_PAIR)
+
+    return compare
+
+
+def _between_components(docs: DataFrame, buckets: DataFrame, component: DataFrame, similarity: int) -> DataFrame:
+    """(center, member): the links inside buckets between members that the stars left in different components.
+
+    Each member outside the largest component of its bucket is compared with all members of other components. A bucket is
+    cut into cells of about ``OUTER`` times ``MEMBERS`` members (fewer, if their sets are large), a task holds the outer
+    members of one cell, and only links come out. Buckets of up to ``SMALL`` members have been compared whole.
+    """
+    named = buckets.filter(F.col("size") > SMALL).join(
+        component.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = named.select("key", "rep", F.col("n").alias("shingles"), F.coalesce("component", "rep").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("l"), F.count("*").alias("k")).filter("k > 1")
-    named = materialize(named.join(largest, "key").select("key", "rep", "n", "company", "component", F.col("l.component").alias("most")), "several")
-    first = F.min(F.when(F.col("component") != F.col("most"), F.struct("me", "component"))).alias("c")
-    centers = _ranked(named).groupBy("key").agg(first)
-    edges = named.join(centers, "key").filter("component <> c.component").select(
-        F.col("c.me.rep").alias("center"), F.col("c.me.n").alias("cn"), F.col("rep").alias("member"), "n")
-    return _fitting(edges, similarity)
+    named = materialize(named.join(largest, "key").select(
+        "key", "rep", "component", "shingles", (F.col("component") != F.col("l.component")).alias("outer")), "several")
+    outer = F.when(F.col("outer"), F.col("shingles"))
+    grid = named.groupBy("key").agg(
+        F.ceil(F.count("*") / MEMBERS).alias("salts"),
+        F.greatest(F.ceil(F.count(outer) / OUTER), F.ceil(F.sum(outer) / OUTER_SHINGLES)).alias("tiles"))
+    placed = named.join(grid, "key")
+    row = ("key", F.col("rep").alias("doc"), "component", "outer")
+    members = placed.select(*row, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"),
+                            F.pmod(F.xxhash64("rep", F.lit(3)), "salts").alias("salt"), F.lit(1).alias("kind"))
+    outers = placed.filter("outer").select(*row, F.pmod(F.xxhash64("rep", F.lit(4)), "tiles").alias("tile"),
+                                           F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
+    wanted = broadcast_checked(members.unionByName(outers), "cells", row_bytes=96)
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc").withColumnRenamed("doc", "rep")
+    dealt = texts.repartition("key", "tile", "salt").sortWithinPartitions("key", "tile", "salt", "kind")
+    return materialize(dealt.mapInArrow(_compare(similarity), "center long, member long"), "between").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
@@ -202,7 +308,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     member of each of ``CENTERS`` random parts is joined with all members after it, in the order of how much company
     they have in all their buckets; the members of small buckets are all joined. An original has more company than its
     copies, so a group of copies that are too far from each other hangs together by it. All edges are confirmed on full
-    sets. Then buckets that still hold several components join their first member outside the largest one with the rest.
+    sets. Then members of a bucket in different components are compared cell by cell, so that no link inside a bucket is
+    lost: by sizes, by one byte per bin (six standard deviations below the similarity), by full sets.
 
     Null, empty and blank texts have empty sets, are linked with nothing and kept. Rows that share a doc_id are one
     document. Rows without doc_id are linked with nothing and kept, with a null component. All other columns are ignored.
@@ -224,9 +331,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     edges = materialize(_candidates(buckets, similarity), "candidates")
     links = same.select(F.col("rep").alias("center"), F.col("doc_id").alias("member")).unionByName(confirm_edges(docs, edges, similarity))
     component = materialize(connected_components(links, "center", "member"), "components")
-    further = materialize(_further(buckets, component, similarity).join(edges, ["center", "member"], "left_anti"), "further")
-    if further.count():
-        found = confirm_edges(docs, further, similarity)
+    found = _between_components(docs, buckets, component, similarity)
+    if found.limit(1).count():
         # Components are nodes of the second round.
         end = [component.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("center", "member")]
         merged = found.join(end[0], "center", "left").join(end[1], "member", "left").select(

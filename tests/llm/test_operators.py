@@ -123,6 +123,33 @@ def test_a_spread_group_hangs_together_by_its_original(spark):
     assert got == components(rows)
 
 
+def test_no_link_inside_a_bucket_is_lost(spark, monkeypatch):
+    """Copies at all distances from a text that is missing, and near copies of some of them; buckets cut into small cells."""
+    monkeypatch.setattr(near_dedup, "OUTER", 8)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 8)
+    rng, rows = np.random.default_rng(7), []
+
+    def copied(words, edits):
+        copy = list(words)
+        for place in rng.choice(len(words), edits, replace=False):
+            copy[place] = f"c{len(rows)}_{place}"
+        rows.append((len(rows), " ".join(copy)))
+        return copy
+
+    words = [f"w{i}" for i in range(200)]
+    for _ in range(60):
+        copy = copied(words, int(rng.integers(4, 16)))
+        if rng.random() < 0.3:
+            copied(copy, 8)
+    want = components(rows)
+    stars = near_dedup._candidates
+    # With one candidate edge a group the rest has to come from the comparison of components.
+    monkeypatch.setattr(near_dedup, "_candidates", lambda buckets, similarity: stars(buckets, similarity).join(
+        buckets.filter(f"size <= {near_dedup.SMALL}").select(F.col("rep").alias("member")).distinct(), "member", "left_semi"))
+    got = near_dedup.near_duplicates(docs(spark, rows + [(500, None), (None, "w1 w2"), (3, ""), (3, None)])).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id not in (None, 500)} == want
+
+
 def test_densified_signatures_estimate_similarity():
     probes = near_dedup.probe_table()
     rng = np.random.default_rng(3)
