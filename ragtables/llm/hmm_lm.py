@@ -1,8 +1,9 @@
 """Hidden Markov language model: Baum-Welch counts over all partitions, exact likelihood of whole texts.
 
-The alphabet has the most frequent words, the end of a text, one symbol for words that training has not seen, and bands of
-rarer words by the size of their count. A word of a band is drawn from it in proportion to its count, so probabilities
-of texts over the known words, the unseen word and the end sum to one. In training a word of count c stands for one of
+The symbols are the most frequent words, the end of a text, one for words that training has not seen, and bands of rarer
+words by the size of their count. Every rarer word has expected counts of its own, in a distributed table: a state draws
+it from its band by these, drawn to its share of the band. So each known word has its own emissions, and probabilities of
+texts over the known words, the unseen word and the end sum to one. In training a word of count c stands for one of
 count c - 1, as if its own occurrence were left out; so words that occur once teach the states where unseen words stand.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,10 @@ CHUNK_TOKENS = 2_000_000
 #: The starting point is fitted on so many whole texts of one chunk, in so many rounds; training uses all texts.
 FIRST_TEXTS, FIRST_ROUNDS = 400, 12
 BANDS = 48
+#: A rare word's own counts weigh as much as this many occurrences of its band.
+OWN_STRENGTH = 2.0
+#: Words of a task whose expected counts are summed before they are sent.
+TASK_WORDS = 1_000_000
 
 
 def held_out(doc_id) -> bool:
@@ -106,23 +112,63 @@ class Alphabet:
         return np.where(symbols > self.unseen, np.log10(np.maximum(counts, 1) / totals[symbols]), 0.0)
 
 
-def _sequences(row: dict, alphabet: Alphabet, training: bool):
-    """(symbols with an end after each text, start and length of each sequence, words, counts, places)"""
-    words = np.array(row["word"], np.int64)
-    counts = np.array(row["count"], np.int64)
-    seen = np.maximum(counts - 1, 0) if training else counts
-    places = _unpack_places(row["places"])
-    n = np.array(row["n"], np.int64)
-    ends = np.cumsum(n)
-    symbols = np.insert(alphabet.symbols(words, seen)[places], ends, alphabet.end)
-    return symbols, ends - n + np.arange(len(n)), n + 1, counts, places
+@dataclass
+class Texts:
+    """A chunk: places of its words with the place ``len(words)`` after each text, start and length of each text."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    own: tuple[np.ndarray, np.ndarray] | None
+
+    @staticmethod
+    def of(row: dict) -> Texts:
+        words = np.array(row["word"], np.int64)
+        n = np.array(row["n"], np.int64)
+        ends = np.cumsum(n)
+        places = np.insert(_unpack_places(row["places"]), ends, len(words))
+        own = row.get("own")
+        if own is not None:
+            at, *values = own.flatten()
+            own = at.to_numpy(), np.stack([v.to_numpy() for v in values], axis=1)
+        return Texts(words, np.array(row["count"], np.int64), places, ends - n + np.arange(len(n)), n + 1, own)
+
+    def symbols(self, alphabet: Alphabet, training: bool) -> np.ndarray:
+        """Symbols of the words, and the end."""
+        seen = np.maximum(self.counts - 1, 0) if training else self.counts
+        return np.append(alphabet.symbols(self.words, seen), alphabet.end)
+
+    def emissions(self, alphabet: Alphabet, model: hmm.Model, bands: Bands | None, training: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, emissions of the words and the end): what the states make of a symbol, and of the word within its band."""
+        symbols = self.symbols(alphabet, training)
+        emissions = model.emissions[symbols]
+        if bands is not None and self.own is not None:
+            at, own = self.own
+            band = symbols[at] - alphabet.unseen - 1
+            inner = band >= 0
+            at, own, band = at[inner], own[inner], band[inner]
+            weight = OWN_STRENGTH / 2.0**band[:, None]
+            states = (bands.train if training else bands.whole)[band]
+            ratio = np.divide(own, states, out=np.ones(own.shape), where=states > 0)
+            emissions[at] *= (ratio + weight) / (1 + weight)
+        return symbols, emissions
+
+
+@dataclass
+class Bands:
+    """(bands, K): how the occurrences of the words of a band are dealt over the states, whole and with one occurrence of each left out."""
+
+    whole: np.ndarray
+    train: np.ndarray
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(len(batch)):
-            yield {c: batch.column(c)[i].as_py() if c in ("chunk", "places") else batch.column(c)[i].values.to_numpy(zero_copy_only=False)
-                   for c in batch.schema.names}
+            yield {c: batch.column(c)[i].as_py() if c in ("chunk", "places") else batch.column(c)[i].values if c == "own" else
+                   batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in batch.schema.names}
 
 
 def _numbers(counts: hmm.Counts, likelihood: float, states: int) -> pa.RecordBatch:
@@ -130,18 +176,31 @@ def _numbers(counts: hmm.Counts, likelihood: float, states: int) -> pa.RecordBat
     used = np.flatnonzero(counts.emissions.any(axis=1))
     items = np.concatenate((used, [-1, -2], -3 - np.arange(states)))
     values = np.concatenate((counts.emissions[used], counts.start[None], np.full((1, states), likelihood), counts.moves))
-    return pa.record_batch([pa.array(items), *[pa.array(np.ascontiguousarray(values[:, k])) for k in range(states)]],
-                           names=["item", *[f"s{k}" for k in range(states)]])
+    return _table(items, values)
+
+
+def _table(items: np.ndarray, values: np.ndarray, word: bool = False) -> pa.RecordBatch:
+    states = range(values.shape[1])
+    return pa.record_batch([pa.array(np.full(len(items), word)), pa.array(items, pa.int64()),
+                            *[pa.array(np.ascontiguousarray(values[:, k], np.float64)) for k in states]],
+                           names=["word", "item", *[f"s{k}" for k in states]])
 
 
 def _schema(states: int) -> str:
-    return ", ".join(["item long", *[f"s{k} double" for k in range(states)]])
+    return ", ".join(["word boolean, item long", *[f"s{k} double" for k in range(states)]])
+
+
+def _summed(items: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct items and the sums of their rows."""
+    distinct, at = np.unique(np.concatenate(items), return_inverse=True)
+    rows = np.concatenate(values)
+    return distinct, np.stack([np.bincount(at, weights=rows[:, k], minlength=len(distinct)) for k in range(rows.shape[1])], axis=1)
 
 
 def _model_of(rows: list, prior: np.ndarray, states: int) -> tuple[hmm.Model, float]:
     counts, likelihood = hmm.Counts(np.zeros(states), np.zeros((states, states)), np.zeros((len(prior), states))), 0.0
     for row in rows:
-        item, values = row[0], row[1:]
+        item, values = row["item"], [row[f"s{k}"] for k in range(states)]
         if item >= 0:
             counts.emissions[item] = values
         elif item == -1:
@@ -156,7 +215,8 @@ def _model_of(rows: list, prior: np.ndarray, states: int) -> tuple[hmm.Model, fl
 def _first(alphabet: Alphabet, prior: np.ndarray, states: int):
     def first(batches):
         for row in _rows(batches):
-            symbols, starts, lengths, _, _ = _sequences(row, alphabet, True)
+            texts = Texts.of(row)
+            symbols, starts, lengths = texts.symbols(alphabet, True)[texts.places], texts.starts, texts.lengths
             chosen = np.flatnonzero(np.array(row["train"], bool))[:FIRST_TEXTS]
             model = hmm.first_model(symbols, starts[chosen], lengths[chosen], prior, states, FIRST_ROUNDS)
             counts, likelihood = hmm.expected_counts(model, symbols, starts[chosen], lengths[chosen])
@@ -165,41 +225,89 @@ def _first(alphabet: Alphabet, prior: np.ndarray, states: int):
     return first
 
 
-def _expect(alphabet: Alphabet, model: hmm.Model):
+def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None):
+    states = len(model.start)
+
     def expect(batches):
-        sums, likelihood = None, 0.0
+        sums, likelihood, items, values = None, 0.0, [], []
         for row in _rows(batches):
-            symbols, starts, lengths, _, _ = _sequences(row, alphabet, True)
-            train = np.array(row["train"], bool)
-            counts, more = hmm.expected_counts(model, symbols, starts[train], lengths[train])
+            texts, train = Texts.of(row), np.array(row["train"], bool)
+            symbols, emissions = texts.emissions(alphabet, model, bands, True)
+            counts, more = hmm.expected_counts(hmm.Model(model.start, model.moves, emissions), texts.places, texts.starts[train], texts.lengths[train])
             likelihood += more
+            by_symbol = np.stack([np.bincount(symbols, weights=counts.emissions[:, k], minlength=alphabet.size) for k in range(states)], axis=1)
             if sums is None:
-                sums = counts
+                sums = hmm.Counts(counts.start, counts.moves, by_symbol)
             else:
                 sums.start += counts.start
                 sums.moves += counts.moves
-                sums.emissions += counts.emissions
+                sums.emissions += by_symbol
+            rare = np.flatnonzero((symbols[:-1] >= alphabet.unseen) & counts.emissions[:-1].any(axis=1))
+            items.append(texts.words[rare])
+            values.append(counts.emissions[rare])
+            if sum(map(len, items)) > TASK_WORDS:
+                items, values = [[x] for x in _summed(items, values)]
+                if len(items[0]) > TASK_WORDS // 2:
+                    yield _table(items[0], values[0], True)
+                    items, values = [], []
+        if items:
+            yield _table(*_summed(items, values), True)
         if sums is not None:
-            yield _numbers(sums, likelihood, len(model.start))
+            yield _numbers(sums, likelihood, states)
 
     return expect
 
 
+def _passed(known: DataFrame, rare: DataFrame, step, prior: np.ndarray, states: int) -> tuple[hmm.Model, DataFrame, Bands]:
+    """Model, (word, count, share of each state in it) of every rare word, and the bands, after a pass over all training texts."""
+    values = [f"s{k}" for k in range(states)]
+    sums = known.mapInArrow(step, _schema(states)).groupBy("word", "item").agg(*[F.sum(s).alias(s) for s in values])
+    sums = sums.join(rare.select(F.lit(True).alias("word"), F.col("word").alias("item"), "count"), ["word", "item"], "left")
+    sums = materialize(sums.select("item", "count", *[F.when(~F.col("word"), F.col(s)).alias(s) for s in values],
+                                   *[(F.col(s) / F.col("count")).cast("float").alias(f"p{s}") for s in values]), "sums")
+    model, _ = _model_of(sums.filter("count is null").select("item", *values).collect(), prior, states)
+    own = sums.filter("count is not null").select(F.col("item").alias("word"), "count", *[F.col(f"p{s}").alias(s) for s in values])
+    tables = []
+    for left_out in (0, 1):
+        weight = F.col("count") - left_out
+        table = np.zeros((BANDS, states))
+        for band, *row in own.filter(weight > 0).groupBy(_band(weight)).agg(*[F.sum(F.col(s) * weight) / F.sum(weight) for s in values]).collect():
+            table[band] = row
+        tables.append(table)
+    return model, own, Bands(*tables)
+
+
+def _band(count):
+    return F.floor(F.log2(count + F.lit(0.5))).cast("int")
+
+
+def _with_own(known: DataFrame, asked: DataFrame, own: DataFrame, least: int) -> DataFrame:
+    """Chunks with the numbers of their own rare words that occur at least ``least`` times."""
+    shares = [c for c in own.columns if c not in ("word", "count")]
+    told = asked.join(own.filter(F.col("count") >= least).drop("count"), "word").groupBy("chunk").agg(
+        F.collect_list(F.struct("at", *shares)).alias("own"))
+    told = known.join(told, "chunk", "left")
+    empty = F.array().cast(told.schema["own"].dataType)
+    return told.withColumn("own", F.coalesce("own", empty))
+
+
 _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _score(alphabet: Alphabet, model: hmm.Model):
+def _score(alphabet: Alphabet, model: hmm.Model, bands: Bands | None):
     def score(batches):
         for row in _rows(batches):
-            symbols, starts, lengths, counts, places = _sequences(row, alphabet, False)
+            texts = Texts.of(row)
+            lengths, counts = texts.lengths, np.append(texts.counts, alphabet.ends)
             docs = len(lengths)
-            owner = np.repeat(np.arange(docs), lengths - 1)
-            base = np.log10((np.append(counts, alphabet.ends) + 1) / (alphabet.n + alphabet.distinct + 1))
-            known = np.bincount(owner, weights=(counts > 0)[places], minlength=docs).astype(np.int64) + int(alphabet.ends > 0)
-            plain = np.bincount(owner, weights=base[places], minlength=docs) + base[-1]
-            inner = alphabet.within(alphabet.symbols(np.array(row["word"], np.int64), counts), counts)
-            total = hmm.log_likelihood(model, symbols, starts, lengths) / np.log(10) + np.bincount(
-                owner, weights=inner[places], minlength=docs)
+            owner = np.repeat(np.arange(docs), lengths)
+            base = np.log10((counts + 1) / (alphabet.n + alphabet.distinct + 1))
+            known = np.bincount(owner, weights=(counts > 0)[texts.places], minlength=docs).astype(np.int64)
+            plain = np.bincount(owner, weights=base[texts.places], minlength=docs)
+            symbols, emissions = texts.emissions(alphabet, model, bands, False)
+            inner = alphabet.within(symbols, counts)
+            total = hmm.log_likelihood(hmm.Model(model.start, model.moves, emissions), texts.places, texts.starts, lengths) / np.log(10) + np.bincount(
+                owner, weights=inner[texts.places], minlength=docs)
             yield pa.record_batch([pa.array(row["doc_id"], pa.int64(), from_pandas=True) if row["doc_id"].dtype != float else
                                    pa.array([None if np.isnan(d) else int(d) for d in row["doc_id"]], pa.int64()),
                                    pa.array(~np.array(row["train"], bool)), pa.array(lengths), pa.array(known),
@@ -215,9 +323,10 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are the words of the whole text
     (A-Z in lower case) and an end. Training learns from documents whose crc32 of the id as text, modulo 7, is not 2.
     Words are known by 64-bit hashes, so their length does not matter. The table of counts of all words is never
-    broadcast: each chunk of texts asks for its own words by a join. The model has a fixed size (``head_words`` plus
-    bands, times ``states``); only it is sent around. Baum-Welch takes ``passes`` passes over all training texts, each
-    summing counts per task before the shuffle.
+    broadcast: each chunk of texts asks for its own words by a join. What is sent around has a fixed size (``head_words``
+    plus bands, times ``states``); the expected counts of all other words stay in a table, and before each pass and the
+    scoring each chunk asks for those of its own words. Baum-Welch takes ``passes`` passes over all training texts, each
+    summing counts per task before the shuffle; the first one knows rare words by their bands only.
 
     Null and empty texts are an end alone. Rows without id are learned from and scored. Repeated rows count each. Without
     training texts every word is unseen and the model is uniform. An empty table gives no rows.
@@ -230,15 +339,14 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     top = counts.orderBy(F.col("count").desc(), "word").limit(head_words).collect()
     head = np.array([r["word"] for r in top], np.int64)
     rare = counts.join(F.broadcast(spark.createDataFrame([(int(w),) for w in head], "word long")), "word", "left_anti")
-    band = F.floor(F.log2(F.col("count") + F.lit(0.5))).cast("int")
-    totals = {r["band"]: r["total"] for r in rare.groupBy(band.alias("band")).agg(F.sum("count").alias("total")).collect()}
+    totals = {r["band"]: r["total"] for r in rare.groupBy(_band(F.col("count")).alias("band")).agg(F.sum("count").alias("total")).collect()}
     n, distinct = counts.agg(F.sum("count"), F.count("*")).first()
     alphabet = Alphabet(head, train_docs, totals, (n or 0) + train_docs, distinct + (train_docs > 0))
 
-    asked = chunks.select("chunk", F.posexplode("word").alias("at", "word")).join(counts, "word", "left")
-    asked = asked.groupBy("chunk").agg(F.array_sort(F.collect_list(
+    asked = chunks.select("chunk", F.posexplode("word").alias("at", "word"))
+    counted = asked.join(counts, "word", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(
         F.struct("at", F.coalesce("count", F.lit(0)).alias("count")))).alias("c"))
-    known = chunks.drop("trained").join(asked.select("chunk", F.col("c.count").alias("count")), "chunk", "left")
+    known = chunks.drop("trained").join(counted.select("chunk", F.col("c.count").alias("count")), "chunk", "left")
     known = known.withColumn("count", F.coalesce("count", F.array().cast("array<long>")))
     known = materialize(known.select("chunk", "doc_id", "n", "train", "places", "word", "count"), "known")
 
@@ -255,10 +363,11 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     model = hmm.estimate(hmm.Counts(np.zeros(states), np.zeros((states, states)), np.zeros((alphabet.size, states))), prior)
     chosen = known.filter("exists(train, t -> t)").agg(F.min("chunk")).first()[0]
     first = [] if chosen is None else known.filter(F.col("chunk") == chosen).mapInArrow(_first(alphabet, prior, states), _schema(states)).collect()
+    bands, told = None, known
     if first:
         model, _ = _model_of(first, prior, states)
-        for _ in range(passes):
-            sums = known.mapInArrow(_expect(alphabet, model), _schema(states)).groupBy("item").agg(
-                *[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
-            model, _ = _model_of(sums.collect(), prior, states)
-    return known.mapInArrow(_score(alphabet, model), _SCORES)
+        for left in reversed(range(passes)):
+            model, own, bands = _passed(told, rare, _expect(alphabet, model, bands), prior, states)
+            # In training a word that occurs once stands for an unseen one.
+            told = _with_own(known, asked, own, 2 if left else 1)
+    return told.mapInArrow(_score(alphabet, model, bands), _SCORES)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ragtables.llm import hmm, mtree, near_dedup, secrets, token_files, warc
 from ragtables.llm.decontamination import contaminated, without_contaminated
 from ragtables.llm.elias_fano import EliasFano, encode
-from ragtables.llm.hmm_lm import score_texts
+from ragtables.llm.hmm_lm import held_out, score_texts
 from ragtables.llm.main_text import extract_pages
 from ragtables.llm.mixing import mix, mixed_documents, sized
 from ragtables.llm.quality import score_quality
@@ -231,6 +231,20 @@ def test_language_model_counts_and_probabilities(spark, sf):
     assert score_texts(docs(spark, [])).count() == 0
 
 
+def test_rare_words_have_emissions_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    ids = [i for i in range(900) if not held_out(i)][:240]
+    rows = []
+    for n, i in enumerate(ids):  # two languages, ten frequent words and thirty rare ones of four occurrences each
+        words = [f"{'ab'[n % 2]}{j}" for j in rng.integers(0, 10, 40)]
+        rows.append((i, " ".join([*words[:20], f"rare{'ab'[n % 2]}{n // 2 % 30}", *words[20:]])))
+    out = [i for i in range(900) if held_out(i)][:2]
+    rows += [(i, " ".join([*["a1 a2 a3 a4"] * 3, f"rare{language}7", *["a5 a6 a7 a8"] * 3])) for i, language in zip(out, "ab")]
+    got = {r.doc_id: r for r in score_texts(docs(spark, rows), head_words=20, states=2, passes=3).collect()}
+    assert got[out[0]].base_score == got[out[1]].base_score and got[out[0]].n_known == got[out[1]].n_known == 26
+    assert got[out[0]].score > got[out[1]].score + 0.2
+
+
 def test_forward_recursion_sums_over_all_paths():
     rng = np.random.default_rng(2)
     model = hmm.Model(*(x / x.sum(axis=-1 if x.ndim < 2 or x.shape[0] == 3 else 0, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((4, 3)))))
