@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from ragtables.llm import hmm
 from ragtables.llm.common import text_bytes, text_slices
-from ragtables.llm.words import word_hashes
+from ragtables.llm.words import mix, word_hashes
 from ragtables.session import materialize
 
 HEAD_WORDS, STATES, PASSES = 16_384, 8, 3
 CHUNK_TOKENS = 2_000_000
-#: The starting point is fitted on so many whole texts of one chunk, in so many rounds; training uses all texts.
+#: The starting point is fitted on so many whole texts of the table, by a hash, in so many rounds; training uses all texts.
 FIRST_TEXTS, FIRST_ROUNDS = 400, 12
 BANDS = 48
 #: A rare word's own counts weigh as much as this many occurrences of its band.
@@ -41,7 +41,7 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-_CHUNKS = "chunk long, doc_id array<long>, n array<int>, train array<boolean>, places binary, word array<long>, trained array<long>"
+_CHUNKS = "chunk long, doc_id array<long>, n array<int>, train array<boolean>, key array<long>, places binary, word array<long>, trained array<long>"
 
 
 def _pack_places(places: np.ndarray) -> bytes:
@@ -63,11 +63,13 @@ def _chunk(number: int, docs: list, lengths: list, hashes: list) -> pa.RecordBat
     rank[order] = np.arange(len(order))
     places = rank[places]
     train = np.array([not held_out(d) for d in docs], bool)
+    keys = np.array([zlib.crc32(b"" if d is None else str(d).encode()) for d in docs], np.uint64) + mix(n.astype(np.uint64))
+    np.add.at(keys, np.repeat(np.arange(len(docs)), n), mix(all_hashes))
     trained = np.bincount(places[np.repeat(train, n)], minlength=len(words))
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     return pa.record_batch([
         pa.array([TaskContext.get().partitionId() << 32 | number]), one(docs, pa.int64()), one(n.astype(np.int32), pa.int32()),
-        one(train, pa.bool_()), pa.array([_pack_places(places)], pa.binary()), one(words[order].view(np.int64), pa.int64()),
+        one(train, pa.bool_()), one(mix(keys).view(np.int64), pa.int64()), pa.array([_pack_places(places)], pa.binary()), one(words[order].view(np.int64), pa.int64()),
         one(trained, pa.int64())], names=[c.split()[0] for c in _CHUNKS.split(", ")])
 
 
@@ -212,19 +214,44 @@ def _model_of(rows: list, prior: np.ndarray, states: int) -> tuple[hmm.Model, fl
     return hmm.estimate(counts, prior), likelihood
 
 
-def _first(alphabet: Alphabet, prior: np.ndarray, states: int):
-    def first(batches):
+def _chosen(alphabet: Alphabet, places: dict[int, list[int]]):
+    """(key, symbols) of the texts at these places of chunks."""
+    def chosen(batches):
         for row in _rows(batches):
             texts = Texts.of(row)
-            symbols, starts, lengths = texts.symbols(alphabet, True)[texts.places], texts.starts, texts.lengths
-            chosen = np.flatnonzero(np.array(row["train"], bool))[:FIRST_TEXTS]
-            model = hmm.first_model(symbols, starts[chosen], lengths[chosen], prior, states, FIRST_ROUNDS)
-            counts, likelihood = hmm.expected_counts(model, symbols, starts[chosen], lengths[chosen])
+            symbols = texts.symbols(alphabet, True)
+            for i in places[row["chunk"]]:
+                text = symbols[texts.places[texts.starts[i] : texts.starts[i] + texts.lengths[i]]]
+                yield pa.record_batch([pa.array([row["key"][i]], pa.int64()), pa.array([text.astype("<i4").tobytes()], pa.binary())], names=["key", "symbols"])
+
+    return chosen
+
+
+def _first(prior: np.ndarray, states: int):
+    def first(batches):
+        texts = [np.frombuffer(x, "<i4").astype(np.int64) for batch in batches for x in batch.column("symbols").to_pylist()]
+        if texts:
+            lengths = np.array([len(x) for x in texts])
+            symbols, starts = np.concatenate(texts), np.cumsum(lengths) - lengths
+            model = hmm.first_model(symbols, starts, lengths, prior, states, FIRST_ROUNDS)
+            counts, likelihood = hmm.expected_counts(model, symbols, starts, lengths)
             yield _numbers(counts, likelihood, states)
 
     return first
 
 
+def _first_counts(known: DataFrame, chunks: DataFrame, alphabet: Alphabet, prior: np.ndarray, states: int) -> list:
+    """Counts of the starting point, from the training texts with the least hash of id and words, in whichever chunk."""
+    texts = chunks.select("chunk", F.posexplode(F.arrays_zip("key", "train")).alias("at", "t")).filter("t.train")
+    places: dict[int, list[int]] = {}
+    for r in texts.orderBy("t.key", "chunk", "at").limit(FIRST_TEXTS).select("chunk", "at").collect():
+        places.setdefault(r["chunk"], []).append(r["at"])
+    if not places:
+        return []
+    found = known.filter(F.col("chunk").isin(list(places))).mapInArrow(_chosen(alphabet, places), "key long, symbols binary")
+    return found.repartition(1).sortWithinPartitions("key", "symbols").mapInArrow(_first(prior, states), _schema(states)).collect()
+
+
 def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None):
     states = len(model.start)
 
@@ -326,7 +353,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     broadcast: each chunk of texts asks for its own words by a join. What is sent around has a fixed size (``head_words``
     plus bands, times ``states``); the expected counts of all other words stay in a table, and before each pass and the
     scoring each chunk asks for those of its own words. Baum-Welch takes ``passes`` passes over all training texts, each
-    summing counts per task before the shuffle; the first one knows rare words by their bands only.
+    summing counts per task before the shuffle; the first one knows rare words by their bands only. The starting point
+    comes from ``FIRST_TEXTS`` training texts with the least hash of id and words, so neither files nor splits change it.
 
     Null and empty texts are an end alone. Rows without id are learned from and scored. Repeated rows count each. Without
     training texts every word is unseen and the model is uniform. An empty table gives no rows.
@@ -348,7 +376,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
         F.struct("at", F.coalesce("count", F.lit(0)).alias("count")))).alias("c"))
     known = chunks.drop("trained").join(counted.select("chunk", F.col("c.count").alias("count")), "chunk", "left")
     known = known.withColumn("count", F.coalesce("count", F.array().cast("array<long>")))
-    known = materialize(known.select("chunk", "doc_id", "n", "train", "places", "word", "count"), "known")
+    known = materialize(known.select("chunk", "doc_id", "n", "train", "key", "places", "word", "count"), "known")
 
     # What is known of each symbol at the start: its share, with a little for all.
     share = np.zeros(alphabet.size)
@@ -361,8 +389,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     prior = (share + 0.01) / (share + 0.01).sum()
 
     model = hmm.estimate(hmm.Counts(np.zeros(states), np.zeros((states, states)), np.zeros((alphabet.size, states))), prior)
-    chosen = known.filter("exists(train, t -> t)").agg(F.min("chunk")).first()[0]
-    first = [] if chosen is None else known.filter(F.col("chunk") == chosen).mapInArrow(_first(alphabet, prior, states), _schema(states)).collect()
+    first = _first_counts(known, chunks, alphabet, prior, states)
     bands, told = None, known
     if first:
         model, _ = _model_of(first, prior, states)

@@ -245,6 +245,15 @@ def test_rare_words_have_emissions_of_their_own(spark):
     assert got[out[0]].score > got[out[1]].score + 0.2
 
 
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'abc'[i // 300]}{j}" for j in rng.integers(0, 30, 12))) for i in range(900)]
+    one, other = (score_texts(docs(spark, r).repartitionByRange(n, F.col("doc_id") * sign), head_words=60, states=3, passes=2).collect()
+                  for r, n, sign in ((rows, 1, 1), (rows[::-1], 3, -1)))
+    scores = {r.doc_id: r.score for r in other}
+    assert all(math.isclose(r.score, scores[r.doc_id], rel_tol=1e-3) for r in one)
+
+
 def test_forward_recursion_sums_over_all_paths():
     rng = np.random.default_rng(2)
     model = hmm.Model(*(x / x.sum(axis=-1 if x.ndim < 2 or x.shape[0] == 3 else 0, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((4, 3)))))
