@@ -9,9 +9,12 @@ count c - 1, as if its own occurrence were left out; so words that occur once te
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from ragtables.llm import hmm
 from ragtables.llm.common import text_bytes, text_slices
 from ragtables.llm.words import mix, word_hashes
-from ragtables.session import materialize
+from ragtables.session import materialize, scratch_path
 
 HEAD_WORDS, STATES, PASSES = 16_384, 8, 3
 CHUNK_TOKENS = 2_000_000
@@ -33,7 +36,7 @@ BANDS = 48
 #: A rare word's own counts weigh as much as this many occurrences of its band.
 OWN_STRENGTH = 2.0
 #: Words of a task whose expected counts are summed before they are sent.
-TASK_WORDS = 1_000_000
+TASK_WORDS = 1 << 18
 
 
 def held_out(doc_id) -> bool:
@@ -114,6 +117,22 @@ class Alphabet:
         return np.where(symbols > self.unseen, np.log10(np.maximum(counts, 1) / totals[symbols]), 0.0)
 
 
+def _unpack_shares(packed: list[np.ndarray]) -> np.ndarray:
+    """(words, 4 * columns): shares in steps of 2**-15, four to a number."""
+    return np.stack([(x >> 16 * i & 0x7FFF).astype(np.float32) / 32768 for x in packed for i in range(4)], axis=1)
+
+
+def _packed_shares(values: list[str]) -> list:
+    """Columns of four numbers of 15 bits each, of shares of ``count``."""
+    steps = [F.least(F.round(F.col(v) / F.col("count") * 32768), F.lit(32767)).cast("long") for v in values]
+    return [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(x, 16 * i) for i, x in enumerate(steps[j : j + 4])]).alias(f"p{j // 4}")
+            for j in range(0, len(steps), 4)]
+
+
+def _share(k: int):
+    return F.shiftright(f"p{k // 4}", 16 * (k % 4)).bitwiseAND(F.lit(0x7FFF)) / 32768.0
+
+
 @dataclass
 class Texts:
     """A chunk: places of its words with the place ``len(words)`` after each text, start and length of each text."""
@@ -133,8 +152,8 @@ class Texts:
         places = np.insert(_unpack_places(row["places"]), ends, len(words))
         own = row.get("own")
         if own is not None:
-            at, *values = own.flatten()
-            own = at.to_numpy(), np.stack([v.to_numpy() for v in values], axis=1)
+            at, *packed = (x.to_numpy() for x in own.flatten())
+            own = at, _unpack_shares(packed)
         return Texts(words, np.array(row["count"], np.int64), places, ends - n + np.arange(len(n)), n + 1, own)
 
     def symbols(self, alphabet: Alphabet, training: bool) -> np.ndarray:
@@ -153,7 +172,7 @@ class Texts:
             at, own, band = at[inner], own[inner], band[inner]
             weight = OWN_STRENGTH / 2.0**band[:, None]
             states = (bands.train if training else bands.whole)[band]
-            ratio = np.divide(own, states, out=np.ones(own.shape), where=states > 0)
+            ratio = np.divide(own[:, : states.shape[1]], states, out=np.ones(states.shape, np.float32), where=states > 0, casting="same_kind")
             emissions[at] *= (ratio + weight) / (1 + weight)
         return symbols, emissions
 
@@ -252,7 +271,7 @@ def _first_counts(known: DataFrame, chunks: DataFrame, alphabet: Alphabet, prior
     return found.repartition(1).sortWithinPartitions("key", "symbols").mapInArrow(_first(prior, states), _schema(states)).collect()
 
 
-def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None):
+def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None, least: int):
     states = len(model.start)
 
     def expect(batches):
@@ -269,9 +288,10 @@ def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None):
                 sums.start += counts.start
                 sums.moves += counts.moves
                 sums.emissions += by_symbol
-            rare = np.flatnonzero((symbols[:-1] >= alphabet.unseen) & counts.emissions[:-1].any(axis=1))
+            rare = np.flatnonzero((symbols[:-1] >= alphabet.unseen) & (texts.counts >= least) & counts.emissions[:-1].any(axis=1))
             items.append(texts.words[rare])
             values.append(counts.emissions[rare])
+            del texts, emissions, counts, by_symbol
             if sum(map(len, items)) > TASK_WORDS:
                 items, values = [[x] for x in _summed(items, values)]
                 if len(items[0]) > TASK_WORDS // 2:
@@ -286,19 +306,18 @@ def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None):
 
 
 def _passed(known: DataFrame, rare: DataFrame, step, prior: np.ndarray, states: int) -> tuple[hmm.Model, DataFrame, Bands]:
-    """Model, (word, count, share of each state in it) of every rare word, and the bands, after a pass over all training texts."""
+    """Model, (word, count, packed shares of the states in it) of rare words, and the bands, after a pass over all training texts."""
     values = [f"s{k}" for k in range(states)]
-    sums = known.mapInArrow(step, _schema(states)).groupBy("word", "item").agg(*[F.sum(s).alias(s) for s in values])
+    sums = known.mapInArrow(step, _schema(states)).repartition("word", "item").groupBy("word", "item").agg(*[F.sum(s).alias(s) for s in values])
     sums = sums.join(rare.select(F.lit(True).alias("word"), F.col("word").alias("item"), "count"), ["word", "item"], "left")
-    sums = materialize(sums.select("item", "count", *[F.when(~F.col("word"), F.col(s)).alias(s) for s in values],
-                                   *[(F.col(s) / F.col("count")).cast("float").alias(f"p{s}") for s in values]), "sums")
+    sums = materialize(sums.select("item", "count", *[F.when(~F.col("word"), F.col(s)).alias(s) for s in values], *_packed_shares(values)), "sums")
     model, _ = _model_of(sums.filter("count is null").select("item", *values).collect(), prior, states)
-    own = sums.filter("count is not null").select(F.col("item").alias("word"), "count", *[F.col(f"p{s}").alias(s) for s in values])
+    own = sums.filter("count is not null").drop(*values).withColumnRenamed("item", "word")
     tables = []
     for left_out in (0, 1):
         weight = F.col("count") - left_out
         table = np.zeros((BANDS, states))
-        for band, *row in own.filter(weight > 0).groupBy(_band(weight)).agg(*[F.sum(F.col(s) * weight) / F.sum(weight) for s in values]).collect():
+        for band, *row in own.filter(weight > 0).groupBy(_band(weight)).agg(*[F.sum(_share(k) * weight) / F.sum(weight) for k in range(states)]).collect():
             table[band] = row
         tables.append(table)
     return model, own, Bands(*tables)
@@ -308,16 +327,42 @@ def _band(count):
     return F.floor(F.log2(count + F.lit(0.5))).cast("int")
 
 
-def _with_own(known: DataFrame, asked: DataFrame, own: DataFrame, least: int) -> DataFrame:
-    """Chunks with the numbers of their own rare words that occur at least ``least`` times."""
-    shares = [c for c in own.columns if c not in ("word", "count")]
-    told = asked.join(own.filter(F.col("count") >= least).drop("count"), "word").groupBy("chunk").agg(
-        F.collect_list(F.struct("at", *shares)).alias("own"))
+def _with_own(known: DataFrame, own: DataFrame, least: int, most: int) -> DataFrame:
+    """Chunks with the numbers of their own rare words that occur at least ``least`` times; no rare word occurs more than ``most`` times."""
+    asked = known.select("chunk", F.posexplode(F.arrays_zip("word", "count")).alias("at", "w")).filter(F.col("w.count").between(least, most))
+    packed = [c for c in own.columns if c not in ("word", "count")]
+    told = asked.select("chunk", "at", "w.word").join(own.drop("count"), "word").groupBy("chunk").agg(
+        F.collect_list(F.struct("at", *packed)).alias("own"))
     told = known.join(told, "chunk", "left")
     empty = F.array().cast(told.schema["own"].dataType)
     return told.withColumn("own", F.coalesce("own", empty))
 
 
+def _by_chunk(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder in buckets of chunks and read it back, so that joins on the chunk move nothing."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, name)).saveAsTable(table)
+    written = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    return written
+
+
+@contextmanager
+def _shuffles_dropped(spark):
+    """Within, the files of a shuffle go when the query that made them has ended; its result is in the shared folder by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -359,8 +404,13 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     Null and empty texts are an end alone. Rows without id are learned from and scored. Repeated rows count each. Without
     training texts every word is unseen and the model is uniform. An empty table gives no rows.
     """
+    with _shuffles_dropped(docs.sparkSession):
+        return _scored(docs, head_words, states, passes)
+
+
+def _scored(docs: DataFrame, head_words: int, states: int, passes: int) -> DataFrame:
     spark = docs.sparkSession
-    chunks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNKS), "chunks")
+    chunks = _by_chunk(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNKS), "chunks")
     words = chunks.select(F.explode(F.arrays_zip("word", "trained")).alias("w")).select("w.word", "w.trained").filter("trained > 0")
     counts = materialize(words.groupBy("word").agg(F.sum("trained").alias("count")), "counts")
     train_docs = chunks.select(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
@@ -374,9 +424,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     asked = chunks.select("chunk", F.posexplode("word").alias("at", "word"))
     counted = asked.join(counts, "word", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(
         F.struct("at", F.coalesce("count", F.lit(0)).alias("count")))).alias("c"))
-    known = chunks.drop("trained").join(counted.select("chunk", F.col("c.count").alias("count")), "chunk", "left")
+    known = chunks.drop("trained").join(_by_chunk(counted.select("chunk", F.col("c.count").alias("count")), "known"), "chunk", "left")
     known = known.withColumn("count", F.coalesce("count", F.array().cast("array<long>")))
-    known = materialize(known.select("chunk", "doc_id", "n", "train", "key", "places", "word", "count"), "known")
 
     # What is known of each symbol at the start: its share, with a little for all.
     share = np.zeros(alphabet.size)
@@ -394,7 +443,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     if first:
         model, _ = _model_of(first, prior, states)
         for left in reversed(range(passes)):
-            model, own, bands = _passed(told, rare, _expect(alphabet, model, bands), prior, states)
-            # In training a word that occurs once stands for an unseen one.
-            told = _with_own(known, asked, own, 2 if left else 1)
+            # In training a word that occurs once stands for an unseen one, so only the scoring needs its own counts.
+            least = 2 if left else 1
+            model, own, bands = _passed(told, rare, _expect(alphabet, model, bands, least), prior, states)
+            told = _with_own(known, own, least, int(top[-1]["count"]) if top else 0)
     return told.mapInArrow(_score(alphabet, model, bands), _SCORES)
