@@ -70,7 +70,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of high entropy outside the ones already found."""
+    """Spans of high entropy; one that overlaps spans already found is cut at them, and what still holds a window remains."""
     found = []
     for m in CANDIDATE.finditer(text):
         candidate = m[0]
@@ -81,11 +81,23 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
         least = next(bits for _, pattern, bits in CLASSES if pattern.fullmatch(candidate))
         for begin, end in entropy_windows(candidate, WINDOW, least):
             begin, end = begin + m.start(), end + m.start()
-            if not any(a < end and begin < b for a, _, b in taken):
-                found.append((begin, 3, end))
+            for left, right in _outside(begin, end, taken):
+                if (left, right) == (begin, end) or entropy_windows(text[left:right], WINDOW, least):
+                    found.append((left, 3, right))
     return found
 
 
+def _outside(begin: int, end: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the sorted spans ``taken`` leave of a span."""
+    for a, _, b in taken:
+        if begin < end and a < end and begin < b:
+            if begin < a:
+                yield begin, a
+            begin = b
+    if begin < end:
+        yield begin, end
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{begin}:{end}" for begin, kind, end in spans)
 
@@ -118,7 +130,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """Secrets of every row of ``docs`` (doc_id, text): counts, a digest of the base spans, and all spans.
 
     Spans are in code points of the whole text, the end exclusive, of the whole match. The entropy scan adds spans that
-    overlap no base span. Texts in which one linear pattern finds no trace of a kind are not searched further. Null and
+    overlap no base span, cut at base spans where they run into one. Texts in which one linear pattern finds no trace of a kind are not searched further. Null and
     empty texts have no spans; rows without id are scanned; repeated rows come out as often; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _SCHEMA)
