@@ -349,14 +349,37 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, similarity: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document with the least doc_id, once."""
+    """The rows of ``docs`` without near duplicates: of each component the document with the least doc_id, once.
+
+    Rows that share a doc_id are one document only if they share the text, too.
+    """
+    texts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")).distinct()
+    clashing = materialize(texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "clashing")
+    if clashing.limit(1).count():
+        return _deduplicated_by_text(docs, similarity)
     found = materialize(near_duplicates(docs, similarity), "found")
     gone = broadcast_checked(found.filter("not kept").select("doc_id").distinct(), "gone", row_bytes=32)
     stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-                        .filter("n > 1").select("doc_id"), "twice")
+    return _once(docs, stay, found.filter("kept"), "doc_id")
+
+
+def _deduplicated_by_text(docs: DataFrame, similarity: int) -> DataFrame:
+    """The same where rows of one doc_id have different texts: a hash of both names a document."""
+    named = docs.withColumn("key__", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = materialize(near_duplicates(named.select(F.col("key__").alias("doc_id"), "text"), similarity), "found")
+    found = found.filter("doc_id is not null").select(F.col("doc_id").alias("key__"), "component_id")
+    ids = named.filter("key__ is not null").select("key__", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    least = found.distinct().join(ids, "key__").groupBy("component_id").agg(F.min(F.struct("doc_id", "key__")).alias("first"))
+    kept = materialize(least.select("first.key__"), "kept")
+    stay = named.join(kept, "key__", "left_semi").unionByName(named.filter("key__ is null"))
+    return _once(named, stay.select(named.columns), found.join(kept, "key__", "left_semi"), "key__").select(docs.columns)
+
+
+def _once(docs: DataFrame, stay: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """One row of each document of ``stay``; ``kept`` has the key of each of its rows."""
+    twice = materialize(kept.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "twice")
     if not twice.count():
         return stay
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    first = stay.join(twice, "doc_id", "left_semi").withColumn("number__", number).filter("number__ = 1")
-    return stay.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))
+    first = stay.join(twice, key, "left_semi").withColumn("number__", number).filter("number__ = 1")
+    return stay.join(twice, key, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
