@@ -2,6 +2,7 @@
 
 from ragtables.llm import (  # noqa: F401
     decontamination_query,
+    fill_middle_query,
     hmm_query,
     main_text_query,
     mixing_query,
