@@ -8,6 +8,7 @@ from ragtables.llm import (  # noqa: F401
     mixing_query,
     mtree_query,
     near_dedup_query,
+    prefix_trie_query,
     quality_query,
     secrets_query,
     token_files_query,
