@@ -12,6 +12,7 @@ from ragtables.llm import (  # noqa: F401
     quality_query,
     secrets_query,
     token_files_query,
+    tree_bpe_query,
     warc_query,
 )
 from ragtables.llm.catalog import ORACLES, QUERIES  # noqa: F401
