@@ -182,12 +182,13 @@ def chunk_numbering(spark, sf):
 @query("chunk_provenance", r"""
     SELECT sha256(source_id || '|' || CAST(chunk_index AS STRING) || '|text-embedding-3-small|v.1.0.0') AS document_id,
            800 AS chunk_size, 100 AS chunk_overlap, false AS is_active, 'text-embedding-3-small' AS embedding_model,
-           'v.1.0.0' AS embedding_version, 'openai' AS embedding_provider,
+           'v.1.0.0' AS embedding_version, 'openai' AS embedding_provider, '' AS deleted_at,
            len(regexp_extract_all(content, '\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+')) AS token_count
     FROM v_chunks""")
 def chunk_provenance(spark, sf):
     rows = provenance(view(spark, sf, "v_chunks").select("source_id", "chunk_index", "content"))
-    return rows.drop("source_id", "chunk_index", "content")
+    return rows.select("document_id", "chunk_size", "chunk_overlap", "is_active", "embedding_model", "embedding_version",
+                       "embedding_provider", "token_count", F.coalesce(F.col("deleted_at").cast("string"), F.lit("")).alias("deleted_at"))
 
 
 def _vector_facts(df, key, vector):
