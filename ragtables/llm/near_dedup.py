@@ -22,7 +22,7 @@ from ragtables.llm.components import connected_components
 from ragtables.llm.words import mix, word_hashes
 from ragtables.session import materialize
 
-BINS_LOG2, ROWS, MEMBERS_PER_SALT = 8, 6, 4096
+BINS_LOG2, ROWS, MEMBERS_PER_SALT = 8, 6, 1024
 CENTERS, SMALL = 4, 5
 #: Most members of a cell on average, shingles of its outer ones, and members compared at once.
 OUTER, MEMBERS, OUTER_SHINGLES, BLOCK = 512, 512, 1 << 20, 64
@@ -169,13 +169,16 @@ def _ranked(buckets: DataFrame) -> DataFrame:
 def _candidates(buckets: DataFrame, similarity: int) -> DataFrame:
     """(center, member) of every bucket: its first member of each of four random parts with all members after it.
 
-    A bucket of up to ``SMALL`` members has all of them as centres.
+    A bucket of up to ``SMALL`` members has all of them as centres. Members of a large bucket are dealt over several tasks.
     """
-    ranked = _ranked(buckets)
+    ranked = _ranked(buckets).withColumn("salts", F.ceil(F.col("size") / MEMBERS_PER_SALT)).withColumn(
+        "salt", F.pmod(F.xxhash64("rep", F.lit(6)), "salts"))
     parts = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(CENTERS)) == i, F.col("me"))) for i in range(CENTERS)]
     few = F.collect_list(F.when(F.col("size") <= SMALL, F.col("me")))
-    centers = ranked.groupBy("key").agg(F.array_distinct(F.array_compact(F.concat(F.array(*parts), few))).alias("centers"))
-    edges = ranked.join(centers, "key").select("me", F.explode("centers").alias("c")).filter("c < me")
+    centers = ranked.groupBy("key").agg(F.array_distinct(F.array_compact(F.concat(F.array(*parts), few))).alias("centers"),
+                                        F.first("salts").alias("salts"))
+    centers = centers.select("key", "centers", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    edges = ranked.join(centers, ["key", "salt"]).select("me", F.explode("centers").alias("c")).filter("c < me")
     return _fitting(edges.select(F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("me.rep").alias("member"), F.col("me.n").alias("n")), similarity)
 
 
@@ -183,6 +186,29 @@ def _fitting(edges: DataFrame, similarity: int) -> DataFrame:
     return edges.filter(f"100 * least(n, cn) >= {similarity} * greatest(n, cn)").select("center", "member").distinct()
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of buckets of two members and more, with ``size``. Keys of very many rows are looked up by broadcast, not dealt by key."""
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    hot = broadcast_checked(shared.filter(F.col("size") > MEMBERS_PER_SALT), "hot", row_bytes=48)
+    rest = rows.join(hot.select("key"), "key", "left_anti").join(shared.filter(F.col("size") <= MEMBERS_PER_SALT), "key")
+    return rest.unionByName(rows.join(hot, "key"))
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (center, member) with the same components and without redundancy: each member with its least centre, and
+    its least centre with its other centres, every pair once.
+
+    A member has at most ``CENTERS`` centres in each of its ``BANDS`` buckets (``SMALL`` in a small one), so the list of
+    its centres is bounded; what remains is one link per member and the pairs of centres that share a member.
+    """
+    stars = links.groupBy("member").agg(F.sort_array(F.collect_set("center")).alias("centers"))
+    least = F.col("centers")[0]
+    own = stars.select(least.alias("center"), "member")
+    others = F.slice("centers", 2, F.greatest(F.size("centers"), F.lit(1)))
+    pairs = stars.filter(F.size("centers") > 1).select(least.alias("center"), F.explode(others).alias("member"))
+    return own.unionByName(pairs).distinct()
+
+
 def _sketches(sets: list[np.ndarray], probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One byte per bin and the bucket keys of non-empty sets."""
     signatures = np.stack([signature(s, probes) for s in sets])
@@ -308,7 +334,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     member of each of ``CENTERS`` random parts is joined with all members after it, in the order of how much company
     they have in all their buckets; the members of small buckets are all joined. An original has more company than its
     copies, so a group of copies that are too far from each other hangs together by it. All edges are confirmed on full
-    sets. Then members of a bucket in different components are compared cell by cell, so that no link inside a bucket is
+    sets, and confirmed links are contracted before components are found. Then members of a bucket in different components are compared cell by cell, so that no link inside a bucket is
     lost: by sizes, by one byte per bin (six standard deviations below the similarity), by full sets.
 
     Null, empty and blank texts have empty sets, are linked with nothing and kept. Rows that share a doc_id are one
@@ -323,13 +349,12 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     # Only documents that are least in their class go on to the buckets.
     alone = signed.filter("doc_id is not null and size(bands) > 0").join(same.select("doc_id").distinct(), "doc_id", "left_anti")
     rows = materialize(alone.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key")), "bands")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = materialize(rows.join(shared, "key"), "buckets")
+    buckets = materialize(_sized(rows), "buckets")
     company = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
     buckets = materialize(buckets.join(company, "rep"), "company")
 
     edges = materialize(_candidates(buckets, similarity), "candidates")
-    links = same.select(F.col("rep").alias("center"), F.col("doc_id").alias("member")).unionByName(confirm_edges(docs, edges, similarity))
+    links = same.select(F.col("rep").alias("center"), F.col("doc_id").alias("member")).unionByName(contracted(confirm_edges(docs, edges, similarity)))
     component = materialize(connected_components(links, "center", "member"), "components")
     found = _between_components(docs, buckets, component, similarity)
     if found.limit(1).count():

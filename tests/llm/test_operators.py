@@ -150,6 +150,25 @@ def test_no_link_inside_a_bucket_is_lost(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got if r.doc_id not in (None, 500)} == want
 
 
+@pytest.mark.parametrize("many", [1, 10**6])
+def test_contracted_links_have_the_same_components(spark, monkeypatch, many):
+    """A group whose members have very many centres keeps one link each, and pairs of centres; hubs are looked up apart."""
+    from ragtables.llm import components as c
+
+    monkeypatch.setattr(c, "MANY_NEIGHBOURS", many)
+    rng = np.random.default_rng(2)
+    links = [(int(x), m) for m in range(100, 400) for x in rng.choice(np.arange(40), 15, replace=False)] + [(500, 501), (501, 502), (600, 500)]
+    table = spark.createDataFrame(links, "center long, member long")
+    less = near_dedup.contracted(table).collect()
+    assert len(less) < len(links) / 4 and len(set(less)) == len(less)
+
+    def found(df):
+        return sorted(map(tuple, c.connected_components(df, "center", "member").collect()))
+
+    want = sorted([(n, 0) for n in {x for link in links[:-3] for x in link}] + [(n, 500) for n in (500, 501, 502, 600)])
+    assert found(table) == found(near_dedup.contracted(table)) == want
+
+
 def test_densified_signatures_estimate_similarity():
     probes = near_dedup.probe_table()
     rng = np.random.default_rng(3)
@@ -170,12 +189,52 @@ def test_contaminated_documents(spark):
             (6, " ".join(item.split()[:12])), (7, "four words are short"), (8, item + " " + item), (8, "clean")]
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "four words are short", "x"), (None, item, "x")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): r.matched for r in contaminated(docs(spark, rows), bench).collect()}
-    assert got == {(1, 1): 20, (2, 1): 17, (8, 1): 20}
+    assert got == {(1, 1): 20, (2, 1): 17, (8, 1): 20, (7, 3): 4}
     left = without_contaminated(docs(spark, rows), bench)
-    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 3, 4, 5, 6, 7] and left.columns == docs(spark).columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 3, 4, 5, 6] and left.columns == docs(spark).columns
     assert contaminated(docs(spark, []), bench).count() == 0 and contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def windows_equal(doc, item, width=25):
+    best = 0
+    for shift in range(-len(item), len(doc)):
+        equal = [0 <= shift + i < len(doc) and doc[shift + i] == w for i, w in enumerate(item)]
+        size = min(len(item), width)
+        best = max([best, *[sum(equal[i : i + size]) for i in range(len(item) - size + 1)]])
+    return best
+
+
+def test_items_of_every_length_with_substitutions_at_every_place(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 26)] + [(30, "same"), (31, "same same same"), (32, "b a b a")]
+    rows, number = [], 0
+    for n, text in items:
+        words = text.split()
+        allowed = n - math.ceil(n * 0.8) if n < 26 else 0
+        for places in [(), *[(k,) for k in range(len(words))], *itertools.combinations(range(len(words)), max(allowed, 1))][:60]:
+            number += 1
+            rows.append((number, "before " + " ".join("x" if k in places else w for k, w in enumerate(words)) + " after"))
+    rows += [(number + 1, "a b a b"), (number + 2, "same"), (number + 3, "Same same")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in contaminated(docs(spark, rows), bench).collect()}
+    want = {}
+    for d, text in rows:
+        doc = text.lower().split()
+        for n, item in items:
+            words = item.split()
+            matched = windows_equal(doc, words) if set(doc) & set(words) else 0
+            if matched >= math.ceil(min(len(words), 25) * 0.8):
+                want[d, n] = matched
+    assert got == want
+
+
+def test_one_word_repeated_very_often_meets_an_item_of_it(spark):
+    """Every place is an alignment; each takes only the words of the item along."""
+    rows = [(1, "again " * 20000), (2, "again " * 3000 + "end"), (3, "end")]
+    bench = spark.createDataFrame([(1, "again " * 30), (2, "again")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): 25, (2, 1): 25, (1, 2): 1, (2, 2): 1}
+
+
 def test_mix_takes_what_the_targets_say(spark):
     table = docs(spark, [(i, "w " * (i % 13)) for i in range(400)] + [(1, None), (None, "a b")])
     rows = mix(sized(table)).collect()
@@ -231,6 +290,13 @@ def test_language_model_counts_and_probabilities(spark, sf):
     assert score_texts(docs(spark, [])).count() == 0
 
 
+def test_large_ids_come_back_beside_missing_ones(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    got = score_texts(docs(spark, [(d, "a few words here") for d in ids])).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(d or 0 for d in ids)
+    assert {r.doc_id: r.held_out for r in got} == {d: held_out(d) for d in ids}
+
+
 def test_rare_words_have_emissions_of_their_own(spark):
     rng = np.random.default_rng(3)
     ids = [i for i in range(900) if not held_out(i)][:240]
