@@ -10,7 +10,7 @@ from ragtables.session import materialize
 
 #: Hexadecimal digits of the key: 60 bits.
 KEY_DIGITS = 15
-DOCUMENTS_PER_RANGE = 20_000
+DOCUMENTS_PER_RANGE = 2_000
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 
