@@ -29,7 +29,7 @@ from ragtables.llm.words import mix, word_hashes
 from ragtables.session import materialize, scratch_path
 
 HEAD_WORDS, STATES, PASSES = 16_384, 8, 3
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: The starting point is fitted on so many whole texts of the table, by a hash, in so many rounds; training uses all texts.
 FIRST_TEXTS, FIRST_ROUNDS = 400, 12
 BANDS = 48
@@ -188,7 +188,7 @@ class Bands:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(len(batch)):
-            yield {c: batch.column(c)[i].as_py() if c in ("chunk", "places") else batch.column(c)[i].values if c == "own" else
+            yield {c: batch.column(c)[i].as_py() if c in ("chunk", "places") else batch.column(c)[i].values if c in ("own", "doc_id") else
                    batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in batch.schema.names}
 
 
@@ -380,9 +380,7 @@ def _score(alphabet: Alphabet, model: hmm.Model, bands: Bands | None):
             inner = alphabet.within(symbols, counts)
             total = hmm.log_likelihood(hmm.Model(model.start, model.moves, emissions), texts.places, texts.starts, lengths) / np.log(10) + np.bincount(
                 owner, weights=inner[texts.places], minlength=docs)
-            yield pa.record_batch([pa.array(row["doc_id"], pa.int64(), from_pandas=True) if row["doc_id"].dtype != float else
-                                   pa.array([None if np.isnan(d) else int(d) for d in row["doc_id"]], pa.int64()),
-                                   pa.array(~np.array(row["train"], bool)), pa.array(lengths), pa.array(known),
+            yield pa.record_batch([row["doc_id"], pa.array(~np.array(row["train"], bool)), pa.array(lengths), pa.array(known),
                                    pa.array(np.full(docs, alphabet.n, np.int64)), pa.array(plain), pa.array(total)],
                                   names=[c.split()[0] for c in _SCORES.split(", ")])
 
