@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ from ragtables.session import materialize
 
 #: Characters of texts that one task encodes whole; longer ones are cut into pieces of at most so many.
 LONG, PIECE = 32_768, 16_384
-CACHED_WORDS, CACHED_LENGTH = 600_000, 64
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+#: Ids that are decoded at once.
+DECODED_IDS = 1 << 20
 _BLANKS, _RUNS = re.compile("[\x20\x09-\x0d]+"), re.compile("[^\x20\x09-\x0d]+")
 
 # Fixed value: the pattern by which vocabularies of this kind cut lower-case text into words.
@@ -329,9 +332,17 @@ def _decode(vocabulary: str, names: list[str]) -> Callable:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         for batch in batches:
-            lists = batch.column("ids")
-            texts = [encoder.decode(np.array([], np.int64) if x.values is None else x.values.drop_null().to_numpy(zero_copy_only=False)) for x in lists]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < len(batch):
+                before = ends[first - 1] if first else 0
+                last = max(int(np.searchsorted(ends, before + DECODED_IDS, "right")), first + 1)
+                part = batch.slice(first, last - first)
+                texts = [encoder.decode(np.array([], np.int64) if x.values is None else x.values.drop_null().to_numpy(zero_copy_only=False))
+                         for x in part.column("ids")]
+                yield pa.record_batch([*(part.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
+                first = last
+            pa.default_memory_pool().release_unused()
 
     return decode
 
