@@ -226,12 +226,15 @@ def _corpus(spark, sf):
     return urls.unionByName(others), pages, files, files.select("bucket", "path"), parts
 
 
-@query("ingest", f"""
+INGESTED = f"""
     WITH RECURSIVE source_texts AS ({SOURCE_TEXTS}),
     {chunk_sql("SELECT source_id AS doc, text FROM source_texts WHERE error_message = ''")}
     SELECT s.source_id, s.error_message, count(c.doc) AS n_vectors, CAST(coalesce(sum(length(c.content)), 0) AS BIGINT)
                AS n_chars
-    FROM source_texts s LEFT JOIN chunks c ON c.doc = s.source_id GROUP BY s.source_id, s.error_message""")
+    FROM source_texts s LEFT JOIN chunks c ON c.doc = s.source_id GROUP BY s.source_id, s.error_message"""
+
+
+@query("ingest", INGESTED)
 def ingest(spark, sf):
     """The whole way from sources to vectors: chunks of each source with their vectors, and its outcome."""
     from ragtables.plans.ingest import ingest as run
@@ -246,6 +249,45 @@ def ingest(spark, sf):
         F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
 
+@query("stream_sources", INGESTED)
+def stream_sources(spark, sf):
+    """Sources of both kinds as a stream: two files, then a restart with a third and the first again."""
+    from ragtables.plans.ingest import newest_outcomes
+    from ragtables.sources.snapshots import Store
+    from ragtables.streaming.ingest import stream_sources as run
+
+    base = scratch_path(spark, "sources")
+    sources, *landed = _corpus(spark, sf)
+    rows = sources.withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(3)))
+    store = Store(spark, f"{base}/store")
+    for parts in ((0, 1), (2, 0)):
+        for part in parts:
+            rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(sources.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        run(stream, store, lambda: landed, f"{base}/checkpoint", dimensions=64).awaitTermination()
+    chunks = store.read("chunks").join(store.read("vectors").select("document_id"), "document_id")
+    per_source = chunks.groupBy("source_id").agg(F.count("*").alias("n_vectors"), F.sum(F.length("content")).alias("n_chars"))
+    return newest_outcomes(store).join(per_source, "source_id", "left").select(
+        "source_id", F.coalesce("error_message", F.lit("")).alias("error_message"),
+        F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+@query("ingest_and_retrieve", f"SELECT source_id, 1 AS rank, 0.0 AS distance FROM ({SOURCE_TEXTS}) z WHERE error_message = ''")
+def ingest_and_retrieve(spark, sf):
+    """From sources to passages: all is taken into a store, and the first chunk of each source is looked for in what the store gives."""
+    from ragtables.operators.cleanup import CHUNK_CHANGES, VECTOR_CHANGES
+    from ragtables.plans.ingest import ingest_into
+    from ragtables.plans.retrieval import retrieve_passages
+    from ragtables.sources.snapshots import Store
+
+    store = Store(spark, scratch_path(spark, "store"))
+    ingest_into(store, *_corpus(spark, sf), writer="all", batch=0)
+    chunks = store.read("chunks", CHUNK_CHANGES)
+    queries = chunks.filter("chunk_index = 0").select(F.col("source_id").alias("query_id"), "bot_id", F.col("content").alias("query"))
+    hits = retrieve_passages(queries, chunks, store.read("vectors", VECTOR_CHANGES), k=1)
+    return hits.select(F.col("query_id").alias("source_id"), "rank", F.abs(F.round("distance", 6)).alias("distance"))
+
+
 @query("stream_ingest", f"""
     {CHUNKED}
     SELECT doc AS source_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars

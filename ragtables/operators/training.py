@@ -12,7 +12,10 @@ from ragtables.fixed_values import (
 from ragtables.functions.text import count_tokens
 from ragtables.operators.bounded import broadcast_if_small
 from ragtables.operators.filters import trainable_sources
+from ragtables.sources.snapshots import Change, Store
 
+#: What marks of sources change.
+SOURCE_CHANGES = (Change("status", "last"),)
 CHUNK_KEY = ("source_id", "chunk_index", "embedding_model", "embedding_version")
 
 
@@ -131,6 +134,18 @@ def activate_chunks(chunks: DataFrame, new_vectors: DataFrame) -> DataFrame:
             .withColumn("is_active", F.coalesce("_hit", "is_active")).drop("_hit"))
 
 
+def mark_active(store: Store, vectors: DataFrame) -> int:
+    """Activation in a store: a mark per document that has a vector in ``vectors``."""
+    ids = vectors.select("document_id").distinct().withColumn("is_active", F.lit(True))
+    return store.publish(marks={"chunks": ("document_id", ids)})
+
+
+def mark_queued(store: Store, job_sources: DataFrame) -> int:
+    """Sources of jobs in a store as 'queued_for_training', by a mark per source. Readers use ``SOURCE_CHANGES``."""
+    ids = job_sources.select("source_id").distinct().withColumn("status", F.lit("queued_for_training"))
+    return store.publish(marks={"sources": ("source_id", ids)})
+
+
 def chunks_per_source(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source_id").agg(F.count("*").alias("n_chunks"))
 

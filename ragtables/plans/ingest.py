@@ -18,6 +18,7 @@ from ragtables.fixed_values import (
 from ragtables.functions.text import clean_text
 from ragtables.operators.bounded import broadcast_if_small
 from ragtables.operators.chunking import chunk_documents
+from ragtables.operators.cleanup import VECTOR_CHANGES
 from ragtables.operators.embedding import Embedder, embed_chunks
 from ragtables.operators.filters import is_url, min_length_gate, source_errors
 from ragtables.operators.html_text import extract_text, page_text_with_fallback
@@ -26,6 +27,7 @@ from ragtables.operators.training import chunk_provenance, dedupe_chunk_inserts,
 from ragtables.session import materialize, spread
 from ragtables.sources.files import route_files
 from ragtables.sources.pages import judge_pages
+from ragtables.sources.snapshots import Store
 
 OWNER = ("source_id", "bot_id", "organization_id")
 SOURCE_COLUMNS = ("source_id", "bot_id", "organization_id", "type", "n_chars", "error_message")
@@ -132,3 +134,37 @@ def ingest(sources: DataFrame, pages: DataFrame, files: DataFrame, objects: Data
     vectors = embed_chunks(fresh, stored_vectors, dimensions, embedder).withColumn("deleted_at", F.lit(None).cast("timestamp"))
     # Each of these chunks has its vector here or in the stored table: they are active once both tables are stored.
     return Ingested(fresh.withColumn("is_active", F.lit(True)), vectors, texts.sources.select("source_id", "error_message"))
+
+
+#: Columns of the stored keys that a batch is held against.
+_KEYS = "source_id string, chunk_index int, embedding_model string, embedding_version string"
+
+
+def ingest_into(store: Store, sources: DataFrame, pages: DataFrame, files: DataFrame, objects: DataFrame, parts: DataFrame,
+                writer: str, batch: int, **options) -> int:
+    """One batch into a store: its chunks, their vectors, the outcome of every source and the sources that failed become
+    seen together, in one version. A batch that the store has from this writer adds nothing; gives the store's version.
+
+    Tables: chunks, vectors, outcomes (source_id, status, error_message, batch), and dead_letters, the rows of failed
+    sources with their message, to be sent again. ``options`` are those of :func:`ingest`.
+    """
+    spark = store.spark
+    if store.has_batch(writer, batch):
+        return store.version()
+    stored_chunks = store.read("chunks") if store.has("chunks") else spark.createDataFrame([], _KEYS)
+    stored_vectors = (store.read("vectors", VECTOR_CHANGES) if store.has("vectors")
+                      else spark.createDataFrame([], "document_id string, deleted_at timestamp"))
+    sources = sources.dropDuplicates(["source_id"])
+    done = ingest(sources, pages, files, objects, parts, stored_chunks, stored_vectors, **options)
+    failed = F.col("error_message").isNotNull()
+    outcomes = done.results.select("source_id", F.when(failed, "training_failed").otherwise("trained").alias("status"),
+                                   "error_message", F.lit(batch).cast("long").alias("batch"))
+    letters = sources.join(done.results.filter(failed).select("source_id", "error_message"), "source_id")
+    return store.publish({"vectors": done.vectors, "chunks": done.chunks, "outcomes": outcomes,
+                          "dead_letters": letters.withColumn("batch", F.lit(batch).cast("long"))}, writer=writer, batch=batch)
+
+
+def newest_outcomes(store: Store) -> DataFrame:
+    """(source_id, status, error_message) of every source that a batch has worked on, from its newest batch."""
+    rows = store.rows("outcomes")
+    return rows.groupBy("source_id").agg(F.max_by(F.struct("status", "error_message"), "_added").alias("o")).select("source_id", "o.*")

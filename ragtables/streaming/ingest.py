@@ -13,7 +13,9 @@ from ragtables.fixed_values import EMBEDDING_DIMENSIONS
 from ragtables.operators.chunking import chunk_documents
 from ragtables.operators.embedding import Embedder, chunks_without_embedding, embed
 from ragtables.operators.training import chunk_provenance, dedupe_chunk_inserts
+from ragtables.plans.ingest import ingest_into
 from ragtables.session import materialize
+from ragtables.sources.snapshots import Store
 
 FOLDERS = 256
 
@@ -63,3 +65,24 @@ def stream_ingest(texts: DataFrame, chunk_path: str, vector_path: str, checkpoin
 
     return (texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def stream_sources(sources: DataFrame, store: Store, landed: Callable[[], tuple[DataFrame, DataFrame, DataFrame, DataFrame]],
+                   checkpoint: str, **options) -> StreamingQuery:
+    """Take in a stream of training sources, pages and files alike, through all checks and gates of :func:`ingest`.
+
+    ``landed`` gives the tables of pages, file records, stored objects and file parts as they are when a batch starts. Every
+    micro-batch becomes one version of the store, published under the id of the query, which the checkpoint keeps, and the
+    number of the batch. A batch that died before is made again; one that died after adds nothing; and with a new
+    checkpoint the keys of stored chunks keep sources that come again from being stored twice. Sources that fail go to
+    the table of dead letters with their message, and never stop the others.
+    """
+    spark = sources.sparkSession
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        if not store.has_batch(writer, batch_id):
+            ingest_into(store, materialize(batch, "batch"), *landed(), writer=writer, batch=batch_id, **options)
+
+    return (sources.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
