@@ -78,6 +78,32 @@ def route_messages_stream(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("route_out_of_order_stream", f"""
+    WITH clocks AS (SELECT batch, max(max(epoch_ms(ts))) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                        - 2 * 86400000 AS clock FROM v_arriving_events GROUP BY batch),
+    judged AS (SELECT e.*, coalesce(epoch_ms(ts) < clock, false) AS late FROM v_arriving_events e JOIN clocks c ON c.batch = e.batch),
+    on_time AS (SELECT * FROM judged WHERE NOT late),
+    {state_sql('on_time')}
+    SELECT event_id, conversation_id, {ROUTE} AS route FROM state
+    UNION ALL SELECT event_id, conversation_id, 'late' FROM judged WHERE late""")
+def route_out_of_order_stream(spark, sf):
+    """Events that come in batches of six days, some a day and some twelve days after their time, and a last one that moves the clock."""
+    from ragtables.streaming.routing import DAY_MS, route_in_order
+
+    base = scratch_path(spark, "arrivals")
+    events = view(spark, sf, "v_arriving_events")
+    for batch in range(7):  # one file for each batch of the stream
+        events.filter(F.col("batch") == batch).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    last = events.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "conversation_id": F.lit(-1).cast("long"),
+                                        "ts": F.lit("2030-01-01 00:00:00").cast(events.schema["ts"].dataType)})
+    last.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sink = (route_in_order(stream, delay_ms=2 * DAY_MS).writeStream.format("parquet").option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    sink.awaitTermination()
+    return spark.read.parquet(f"{base}/out").filter("event_id >= 0")
+
+
 @query("admit_connections", """
     WITH judged AS (SELECT *, CASE WHEN token IS NULL OR conversation_id IS NULL
                                        THEN 'No token/conversation id provided'

@@ -91,6 +91,10 @@ VIEWS = {
                CASE event_type WHEN 'signup' THEN 'connect' WHEN 'purchase' THEN 'connect'
                     WHEN 'error' THEN 'disconnect' WHEN 'view' THEN 'typing' ELSE 'message' END AS kind
         FROM events""",
+    "v_arriving_events": """
+        SELECT *, CAST(floor((day(ts) - 1 + CASE WHEN event_id % 40 = 0 THEN 12 WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)
+                             / 6.0) AS INT) AS batch
+        FROM v_mixed_events""",
     "v_connects": """
         SELECT event_id, user_id AS conversation_id, ts,
                CASE WHEN value < 2 THEN NULL ELSE 'token' END AS token, (event_id % 11 <> 0) AS claims_valid,

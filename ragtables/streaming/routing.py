@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -57,3 +58,117 @@ def route_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
             .groupBy("conversation_id")
             .transformWithStateInPandas(_Router(ttl_ms), outputStructType=output, outputMode="Append",
                                         timeMode="ProcessingTime" if ttl_ms else "None"))
+
+
+DAY_MS = 86_400_000
+#: Spark's own watermark trails the newest event by this much, so that it drops nothing; see :class:`_OrderedRouter`.
+KEEP_MS = 3_650 * DAY_MS
+LIFETIME_MS = 90 * DAY_MS
+LATE = "late"
+ORDERED_STATE = T.StructType([*STATE.fields, T.StructField("last_us", T.LongType()), T.StructField("timer_ms", T.LongType())])
+
+
+class _OrderedRouter(StatefulProcessor):
+    """Holds events back until the clock of the stream has passed them, and takes them in the order of their time.
+
+    The clock is the newest event time of earlier batches less ``delay_ms``. Spark would drop late rows before a processor
+    sees them, so its watermark is set to trail by ``KEEP_MS`` instead, and clock and timers are moved by the difference.
+    """
+
+    def __init__(self, delay_ms: int, lifetime_ms: int, event_type: T.StructType):
+        self.shift, self.lifetime_ms, self.event_type = KEEP_MS - delay_ms, lifetime_ms, event_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", ORDERED_STATE)
+        self.waiting = handle.getListState("waiting", self.event_type)
+
+    def _clock(self, timer_values) -> int | None:
+        mark = timer_values.getCurrentWatermarkInMs()
+        return mark + self.shift if mark > 0 else None
+
+    def _read(self) -> tuple[Session, int | None, int | None]:
+        if not self.state.exists():
+            return Session(), None, None
+        organization, mode, present, last_us, timer_ms = self.state.get()
+        return Session(organization, mode, present), last_us, timer_ms
+
+    def _wake(self, at_ms: int, timer_ms: int | None) -> int:
+        """One timer per conversation, at the earliest time that is needed."""
+        if timer_ms == at_ms:
+            return at_ms
+        if timer_ms is not None:
+            self.handle.deleteTimer(timer_ms)
+        self.handle.registerTimer(at_ms)
+        return at_ms
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        clock, first = self._clock(timerValues), None
+        for frame in rows:
+            late = frame["at_us"] // 1000 < clock if clock is not None else frame["at_us"] < 0
+            if late.any():
+                yield pd.DataFrame({"event_id": frame.loc[late, "event_id"].to_numpy(), "conversation_id": key[0], "route": LATE})
+            kept = frame.loc[~late, [f.name for f in self.event_type]]
+            if len(kept):
+                self.waiting.appendList(list(kept.itertuples(index=False, name=None)))
+                least = int(kept["at_us"].min()) // 1000
+                first = least if first is None else min(first, least)
+        if first is not None:
+            session, last_us, timer_ms = self._read()
+            at_ms = first - self.shift + 1
+            if timer_ms is None or at_ms < timer_ms or not self._holds(timer_ms, last_us):
+                timer_ms = self._wake(at_ms, timer_ms)
+            self.state.update((*session, last_us, timer_ms))
+
+    def _holds(self, timer_ms: int, last_us: int | None) -> bool:
+        """Whether the timer waits for events and not for the end of the session."""
+        return last_us is None or timer_ms != last_us // 1000 + self.lifetime_ms - self.shift + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        clock = self._clock(timerValues)
+        session, last_us, _ = self._read()
+        events = sorted(self.waiting.get(), key=lambda e: (e[1], e[0]))
+        due = [e for e in events if e[1] // 1000 < clock]
+        rest, routes = events[len(due) :], []
+        for _, at_us, actor, kind, organization in due:
+            if last_us is not None and at_us - last_us > self.lifetime_ms * 1000:
+                session = Session()
+            session, route = step(session, actor, kind, organization)
+            routes.append(route)
+            last_us = at_us
+        if rest:
+            self.waiting.put(rest)
+            wake = rest[0][1] // 1000 - self.shift + 1
+        else:
+            self.waiting.clear()
+            wake = last_us // 1000 + self.lifetime_ms - self.shift + 1
+        if not rest and clock > last_us // 1000 + self.lifetime_ms:
+            self.state.clear()
+        else:
+            self.handle.registerTimer(wake)
+            self.state.update((*session, last_us, wake))
+        if due:
+            yield pd.DataFrame({"event_id": [e[0] for e in due], "conversation_id": key[0], "route": routes})
+
+    def close(self) -> None:
+        pass
+
+
+def route_in_order(events: DataFrame, delay_ms: int = DAY_MS, lifetime_ms: int = LIFETIME_MS) -> DataFrame:
+    """(event_id, conversation_id, route) of a stream whose events may come out of order.
+
+    An event is routed once the newest event of earlier batches is more than ``delay_ms`` ahead of it, after all events
+    before it; so routes are those of :func:`route_messages` over all events but late ones. An event that comes when the
+    clock has passed it has the route 'late' and changes nothing; write rows of that route to a table of their own. A
+    session without events for ``lifetime_ms`` is forgotten, so state holds the sessions of that time and the events of
+    the last ``delay_ms``. A stream that ends leaves its last events waiting until a newer one moves the clock. Events
+    without conversation or time are left out. Needs the RocksDB state store, which this sets on the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = (events.withColumn("clock", F.col("ts").cast("timestamp")).filter("clock is not null and conversation_id is not null")
+            .withWatermark("clock", f"{KEEP_MS} milliseconds").withColumn("at_us", F.unix_micros("clock"))
+            .select("event_id", "at_us", "actor", "kind", "organization_id", "conversation_id", "clock"))
+    event = T.StructType([rows.schema[c] for c in ("event_id", "at_us", "actor", "kind", "organization_id")])
+    output = T.StructType([rows.schema["event_id"], rows.schema["conversation_id"], T.StructField("route", T.StringType())])
+    return rows.groupBy("conversation_id").transformWithStateInPandas(
+        _OrderedRouter(delay_ms, lifetime_ms, event), outputStructType=output, outputMode="Append", timeMode="EventTime")

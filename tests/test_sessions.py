@@ -115,3 +115,57 @@ def test_replies_and_last_messages_keep_whole_texts(spark):
     assert [r.body for r in ai_reply_events(asked).collect()] == [None, "hi", None]
     messages = spark.createDataFrame([("c", 1, 1, "x" * 300)], "conversation_id string, message_id int, created_at int, content string")
     assert conversation_rollup(messages).first().last_message_snippet == "x" * 300
+
+
+def test_events_out_of_order_are_routed_as_in_order(spark, tmp_path):
+    """Five batches with a restart between: late events are told apart, a long pause forgets the session, state stays small."""
+    import datetime
+
+    from ragtables.operators.sessions import Session, step
+    from ragtables.streaming.routing import DAY_MS, route_in_order
+
+    start, schema = datetime.datetime(2024, 1, 1), "event_id long, conversation_id long, ts timestamp, organization_id string, actor string, kind string"
+    kinds = [("user", "connect"), ("user", "message"), ("agent", "connect"), ("agent", "message"), ("user", "typing"), ("user", "disconnect"), ("agent", "disconnect")]
+    batches = [[], [], [], [], []]
+    for i in range(240):
+        day = i / 12  # 20 days, five batches of four days; some come a batch later, some two
+        actor, kind = kinds[(i * 5 + i // 7) % 7]
+        batch = int(day // 4) + (2 if i % 31 == 3 else 1 if i % 4 == 1 and day % 4 > 3 else 0)
+        batches[min(batch, 4)].append((i, i % 5, start + datetime.timedelta(days=day), f"org_{i % 2}", actor, kind))
+    batches[4].append((240, 0, start + datetime.timedelta(days=60), "org_0", "user", "message"))  # after a pause beyond the lifetime
+    batches.append([(999, 99, start + datetime.timedelta(days=400), "org_0", "user", "typing")])
+
+    want, clock, on_time, seen = {}, None, [], []
+    for batch in batches:
+        for e in batch:
+            late = clock is not None and e[2] < clock
+            want[e[0]] = "late" if late else None
+            if not late:
+                on_time.append(e)
+        seen += [e[2] for e in batch]
+        clock = max(seen) - datetime.timedelta(days=2)
+    sessions, last = {}, {}
+    for e in sorted(on_time, key=lambda e: (e[2], e[0])):
+        c = e[1]
+        if c in last and e[2] - last[c] > datetime.timedelta(days=30):
+            sessions[c] = Session()
+        sessions[c], want[e[0]] = step(sessions.get(c, Session()), e[4], e[5], e[3])
+        last[c] = e[2]
+    del want[999]
+
+    def run(part):
+        for i, batch in part:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = (route_in_order(stream, 2 * DAY_MS, 30 * DAY_MS).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
+        return query.lastProgress
+
+    numbered = list(enumerate(batches))
+    run(numbered[:2])
+    progress = run(numbered[2:])
+    got = {r.event_id: r.route for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == want and "late" in got.values() and got[240] == "rejected"
+    # One session, one list and one timer each for the conversations that are left.
+    assert sum(s["numRowsTotal"] for s in progress["stateOperators"]) <= 40
