@@ -106,6 +106,23 @@ def read_text_files(spark, sf):
                         F.sha2("text", 256).alias("text_hash"))
 
 
+@query("read_csv_files", r"""
+    SELECT doc_id, sha256('doc_id: ' || CAST(doc_id AS STRING) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'lang: ' || lang
+                          ELSE 'n_chars: ' || CAST(n_chars AS STRING) || chr(10) || 'source: ' || source END || chr(10)
+                          || 'text: ' || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_hash FROM documents""")
+def read_csv_files(spark, sf):
+    """The documents as CSV files with two kinds of headers and texts over several lines, written and read back."""
+    from ragtables.sources.csv_files import read_csv_parts
+
+    path = scratch_path(spark, "csv")
+    documents = spread(view(spark, sf, "documents"), "doc_id")
+    for part, columns in ((0, ["doc_id", "lang", "text"]), (1, ["doc_id", "n_chars", "source", "text"])):
+        (documents.filter(F.col("doc_id") % 2 == part).select(*columns).write.mode("append")
+         .csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    return read_csv_parts(spark, path).select(
+        F.regexp_extract("text", r"^doc_id: (\d+)", 1).cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_hash"))
+
+
 @query("read_csv_as_text", """
     SELECT 'c_custkey: ' || CAST(c_custkey AS STRING) || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_nationkey: '
            || CAST(c_nationkey AS STRING) || chr(10) || 'c_mktsegment: ' || c_mktsegment AS text FROM customer""")

@@ -9,6 +9,7 @@ from ragtables.fixed_values import (
     CHUNK_OVERLAP, CHUNK_SIZE, EMBEDDING_MODEL, EMBEDDING_PROVIDER, EMBEDDING_VERSION, ERR_FILE_AMBIGUOUS,
     ERR_FILE_METADATA,
 )
+from ragtables.functions.names import normal_path
 from ragtables.functions.text import count_tokens
 from ragtables.operators.bounded import broadcast_if_small
 from ragtables.operators.filters import trainable_sources
@@ -60,14 +61,14 @@ def sources_for_job(jobs: DataFrame, job_sources: DataFrame, sources: DataFrame)
 
 
 def source_file_lookup(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """File record of each file source by path. Not exactly one record is an error; tenant and deletion do not count.
+    """File record of each file source by its normal path. Not exactly one record is an error; tenant and deletion do not count.
 
     The files are brought to one row per path before the join, which therefore cannot multiply sources.
     """
     by_path = files.groupBy("path").agg(
         F.count("*").alias("n_records"),
         F.min(F.struct("file_id", "bucket", "original_filename", "mime_type")).alias("f"))
-    found = sources.withColumn("path", F.col("source_value")).join(by_path, "path", "left")
+    found = sources.withColumn("path", normal_path(F.col("source_value"))).join(by_path, "path", "left")
     message = (F.when(F.col("n_records") > 1, ERR_FILE_AMBIGUOUS)
                .when(F.col("n_records").isNull() | F.col("f.bucket").isNull(), ERR_FILE_METADATA))
     only = F.when(F.col("n_records") == 1, F.col("f"))
@@ -90,13 +91,16 @@ def chunk_provenance(chunks: DataFrame, chunk_size: int = CHUNK_SIZE, chunk_over
 def dedupe_chunk_inserts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming chunks whose key is not stored yet, once per key. Deleted rows still block their key.
 
-    Of several incoming rows with one key the smallest document id stays. The stored side is cut to its key.
+    Of several incoming rows with one key the smallest document id stays, of equal ones the smallest hash of the content.
+    What is kept is settled on keys, ids and hashes; contents meet the stored keys once, at the end, by a semi join.
     """
     key = list(CHUNK_KEY)
-    fresh = incoming.join(stored.select(*key), key, "left_anti")
-    rest = [c for c in incoming.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct("document_id", "content"))
-    return fresh.groupBy(*key).agg(first.alias("r")).select(*key, "r.*").select(*incoming.columns)
+    hashed = incoming.withColumn("_hash", F.xxhash64("content"))
+    fresh = hashed.select(*key, "document_id", "_hash").join(stored.select(*key), key, "left_anti")
+    first = fresh.groupBy(*key).agg(F.min(F.struct("document_id", "_hash")).alias("r"), F.count("*").alias("n")).select(*key, "r.*", "n")
+    kept = hashed.join(broadcast_if_small(first), [*key, "document_id", "_hash"])
+    once = kept.filter("n = 1").select(incoming.columns)
+    return once.unionByName(kept.filter("n > 1").dropDuplicates([*key, "document_id", "_hash"]).select(incoming.columns))
 
 
 def job_status_rollup(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
