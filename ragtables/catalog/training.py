@@ -154,15 +154,37 @@ def source_file_lookup(spark, sf):
                         F.coalesce("file_id", F.lit(-1)).alias("file_id"))
 
 
-@query("job_status_rollup", """
+ROLLED_UP = """
     SELECT j.job_id, CASE WHEN coalesce(max(CAST(ok AS INT)), 0) = 0 THEN 'failed'
                           WHEN min(CAST(ok AS INT)) = 1 THEN 'completed' ELSE 'partially_completed' END AS status
-    FROM v_jobs j LEFT JOIN v_source_outcomes o ON o.job_id = j.job_id GROUP BY j.job_id""")
+    FROM v_jobs j LEFT JOIN v_source_outcomes o ON o.job_id = j.job_id GROUP BY j.job_id"""
+
+
+@query("job_status_rollup", ROLLED_UP)
 def job_status_rollup(spark, sf):
     jobs = view(spark, sf, "v_jobs").select("job_id")
     return D.job_status_rollup(jobs, view(spark, sf, "v_source_outcomes"))
 
 
+@query("job_status_stream", ROLLED_UP)
+def job_status_stream(spark, sf):
+    """Outcomes of sources as a stream in three files; the status of each job is kept up to date in a store."""
+    from ragtables.session import scratch_path
+    from ragtables.sources.snapshots import Store
+    from ragtables.streaming.jobs import roll_up_stream
+
+    base = scratch_path(spark, "outcomes")
+    outcomes = view(spark, sf, "v_source_outcomes")
+    for part in range(3):
+        outcomes.filter(F.col("source_no") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    store = Store(spark, f"{base}/store")
+    jobs = view(spark, sf, "v_jobs").select("job_id", F.lit("failed").alias("status"), F.lit(None).cast("timestamp_ntz").alias("completed_at"))
+    store.publish({"jobs": jobs})
+    stream = spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    roll_up_stream(stream, store, f"{base}/checkpoint", _now()).awaitTermination()
+    return store.read("jobs", D.JOB_CHANGES).select("job_id", "status")
+
+
 @query("job_timestamps", f"""
     SELECT j.job_id, '{NOW}' AS started_at, '{NOW}' AS completed_at,
            CASE WHEN coalesce(max(CAST(ok AS INT)), 0) = 0 THEN 'failed'

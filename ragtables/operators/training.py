@@ -15,8 +15,9 @@ from ragtables.operators.bounded import broadcast_if_small
 from ragtables.operators.filters import trainable_sources
 from ragtables.sources.snapshots import Change, Store
 
-#: What marks of sources change.
+#: What marks of sources and of jobs change.
 SOURCE_CHANGES = (Change("status", "last"),)
+JOB_CHANGES = (Change("status", "last"), Change("completed_at", "last"))
 CHUNK_KEY = ("source_id", "chunk_index", "embedding_model", "embedding_version")
 
 
@@ -103,12 +104,16 @@ def dedupe_chunk_inserts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return once.unionByName(kept.filter("n > 1").dropDuplicates([*key, "document_id", "_hash"]).select(incoming.columns))
 
 
+def job_status() -> Column:
+    """Status of a job from whether any of its sources succeeded (``any_ok``) and any failed (``any_bad``)."""
+    ok, bad = F.coalesce("any_ok", F.lit(False)), F.coalesce("any_bad", F.lit(False))
+    return F.when(ok & ~bad, "completed").when(ok & bad, "partially_completed").otherwise("failed")
+
+
 def job_status_rollup(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Final status of each job from its sources' results; a job without any source has failed."""
     per_job = outcomes.groupBy("job_id").agg(F.bool_or("ok").alias("any_ok"), F.bool_or(~F.col("ok")).alias("any_bad"))
-    ok, bad = F.coalesce("any_ok", F.lit(False)), F.coalesce("any_bad", F.lit(False))
-    status = F.when(ok & ~bad, "completed").when(ok & bad, "partially_completed").otherwise("failed")
-    return jobs.join(per_job, "job_id", "left").withColumn("status", status).drop("any_ok", "any_bad")
+    return jobs.join(per_job, "job_id", "left").withColumn("status", job_status()).drop("any_ok", "any_bad")
 
 
 def start_jobs(jobs: DataFrame, now) -> DataFrame:
