@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ragtables.fixed_values import (
     FEEDBACK_VALUES, FILE_STATUSES, JOB_STATUSES, OTP_PURPOSES, OTP_TYPES, SOURCE_STATUSES,
 )
+from ragtables.operators.bounded import broadcast_if_small
 from ragtables.schemas import REFERENCES, UNIQUE_KEYS, Reference
-from ragtables.session import materialize
 
 # Columns with an enumerated vocabulary.
 VOCABULARIES = (
@@ -81,10 +81,12 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame],
 
     ``deleted`` maps tables to the ids removed there. The depth of references is fixed by the schema, so this is a
     fixed chain of semi joins, parents first. The doomed ids of a table that others refer to are written once and
-    read by each of them. Returns (doomed ids, surviving rows) by table.
+    read by each of them, by broadcast while their measured size allows. A surviving row is one whose own references
+    meet no doomed id, so a table is scanned once and never joined with itself. Returns (doomed ids, surviving rows) by table.
     """
     cascades = [r for r in references if r.on_delete == "cascade" and r.child in tables and r.parent in tables]
-    doomed = {t: ids.select("id") for t, ids in deleted.items()}
+    given = {t: broadcast_if_small(ids.select("id").distinct()) for t, ids in deleted.items()}
+    doomed = dict(given)
     pending = list(tables)
     while pending:
         ready = [t for t in pending if not any(r.child == t and r.parent in pending for r in cascades)]
@@ -96,10 +98,15 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame],
             if hits:
                 ids = _union(hits + ([doomed[table]] if table in doomed else [])).distinct()
                 is_parent = any(r.parent == table for r in references)
-                doomed[table] = materialize(ids, f"doomed-{table}") if is_parent else ids
+                doomed[table] = broadcast_if_small(ids) if is_parent else ids
         pending = [t for t in pending if t not in ready]
-    kept = {t: df.join(doomed[t], "id", "left_anti") if t in doomed else df for t, df in tables.items()}
-    return doomed, kept
+
+    def survivors(table: str, rows: DataFrame) -> DataFrame:
+        gone = [("id", given[table])] if table in given else []
+        gone += [(r.column, doomed[r.parent].withColumnRenamed("id", r.column)) for r in cascades if r.child == table and r.parent in doomed]
+        return reduce(lambda df, g: df.join(g[1], g[0], "left_anti"), gone, rows).select(rows.columns)
+
+    return doomed, {t: survivors(t, df) for t, df in tables.items()}
 
 
 def set_null_delete(child: DataFrame, column: str, deleted: DataFrame) -> DataFrame:
