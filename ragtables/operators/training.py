@@ -89,19 +89,25 @@ def chunk_provenance(chunks: DataFrame, chunk_size: int = CHUNK_SIZE, chunk_over
     return out.withColumn("document_id", natural_id(*[F.col(c) for c in CHUNK_KEY]))
 
 
+def fresh_chunk_keys(hashed: DataFrame, stored: DataFrame) -> DataFrame:
+    """(key, document_id, _hash, n): for each incoming key that is not stored the least id and hash of its n rows. No content is read."""
+    key = list(CHUNK_KEY)
+    fresh = hashed.select(*key, "document_id", "_hash").join(stored.select(*key), key, "left_anti")
+    return fresh.groupBy(*key).agg(F.min(F.struct("document_id", "_hash")).alias("r"), F.count("*").alias("n")).select(*key, "r.*", "n")
+
+
 def dedupe_chunk_inserts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming chunks whose key is not stored yet, once per key. Deleted rows still block their key.
 
     Of several incoming rows with one key the smallest document id stays, of equal ones the smallest hash of the content.
-    What is kept is settled on keys, ids and hashes; contents meet the stored keys once, at the end, by a semi join.
+    What is kept is settled on keys, ids and hashes; contents meet the kept keys once, at the end, by a broadcast of these
+    while their measured bytes allow.
     """
-    key = list(CHUNK_KEY)
+    key = [*CHUNK_KEY, "document_id", "_hash"]
     hashed = incoming.withColumn("_hash", F.xxhash64("content"))
-    fresh = hashed.select(*key, "document_id", "_hash").join(stored.select(*key), key, "left_anti")
-    first = fresh.groupBy(*key).agg(F.min(F.struct("document_id", "_hash")).alias("r"), F.count("*").alias("n")).select(*key, "r.*", "n")
-    kept = hashed.join(broadcast_if_small(first), [*key, "document_id", "_hash"])
+    kept = hashed.join(broadcast_if_small(fresh_chunk_keys(hashed, stored)), key)
     once = kept.filter("n = 1").select(incoming.columns)
-    return once.unionByName(kept.filter("n > 1").dropDuplicates([*key, "document_id", "_hash"]).select(incoming.columns))
+    return once.unionByName(kept.filter("n > 1").dropDuplicates(key).select(incoming.columns))
 
 
 def job_status() -> Column:

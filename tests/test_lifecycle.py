@@ -131,10 +131,13 @@ def test_deduplication_on_stored_keys_shuffles_no_stored_text(spark, sf):
     from ragtables.catalog.fixtures import view
 
     chunks_ = view(spark, sf, "v_chunks")
-    text = plan(D.dedupe_chunk_inserts(chunks_.filter("is_active"), chunks_))
+    text = plan(D.fresh_chunk_keys(chunks_.filter("is_active").withColumn("_hash", F.xxhash64("content")), chunks_))
     assert "LeftAnti" in text and text.count("text#") >= 1
     stored_scan = text[text.rindex("FileScan"):]
     assert "text" not in stored_scan[stored_scan.index("ReadSchema"):].split("\n")[0]
+    # Contents of keys that come once meet the kept keys where they are scanned; only rows of repeated keys are moved.
+    whole = plan(D.dedupe_chunk_inserts(chunks_.filter("is_active"), chunks_))
+    assert whole.count("BroadcastHashJoin") == 2 and whole.count("Exchange hashpartitioning") == 1
 
 
 def test_soft_deletion_twice_equals_once(spark):
