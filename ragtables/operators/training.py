@@ -13,6 +13,7 @@ from ragtables.functions.names import normal_path
 from ragtables.functions.text import count_tokens
 from ragtables.operators.bounded import broadcast_if_small
 from ragtables.operators.filters import trainable_sources
+from ragtables.session import materialize
 from ragtables.sources.snapshots import Change, Store
 
 #: What marks of sources and of jobs change.
@@ -105,7 +106,10 @@ def dedupe_chunk_inserts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """
     key = [*CHUNK_KEY, "document_id", "_hash"]
     hashed = incoming.withColumn("_hash", F.xxhash64("content"))
-    kept = hashed.join(broadcast_if_small(fresh_chunk_keys(hashed, stored)), key)
+    fresh = materialize(fresh_chunk_keys(hashed, stored), "fresh")
+    kept = hashed.join(broadcast_if_small(fresh), key)
+    if not fresh.filter("n > 1").limit(1).count():
+        return kept.select(incoming.columns)
     once = kept.filter("n = 1").select(incoming.columns)
     return once.unionByName(kept.filter("n > 1").dropDuplicates(key).select(incoming.columns))
 
