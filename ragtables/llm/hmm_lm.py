@@ -5,16 +5,19 @@ words by the size of their count. Every rarer word has expected counts of its ow
 it from its band by these, drawn to its share of the band. So each known word has its own emissions, and probabilities of
 texts over the known words, the unseen word and the end sum to one. In training a word of count c stands for one of
 count c - 1, as if its own occurrence were left out; so words that occur once teach the states where unseen words stand.
+
+What is known of all words is a table in buckets of their hashes, a row per bucket. Chunks of texts ask it and add to it in
+packed rows, one per chunk and bucket: no row per word goes through a shuffle.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ BANDS = 48
 OWN_STRENGTH = 2.0
 #: Words of a task whose expected counts are summed before they are sent.
 TASK_WORDS = 1 << 18
+#: Distinct words of a bucket, about; symbols of a block of the model's counts.
+BUCKET_WORDS, BLOCK_SYMBOLS = 1 << 17, 1024
 
 
 def held_out(doc_id) -> bool:
@@ -44,18 +49,53 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-_CHUNKS = "chunk long, doc_id array<long>, n array<int>, train array<boolean>, key array<long>, places binary, word array<long>, trained array<long>"
+_CHUNKS = "chunk long, doc_id array<long>, n array<int>, train array<boolean>, key array<long>, places binary, words binary, trained binary"
+#: Rows to a bucket: kind 0 what is known of its words, kind 1 what a chunk asks or adds. Buckets below 0 are blocks of symbols.
+_PACKED = "bucket int, kind int, chunk long, words binary, counts binary, shares binary"
 
 
-def _pack_places(places: np.ndarray) -> bytes:
-    """Place numbers by bytes of equal weight, compressed."""
-    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers by bytes of equal weight, compressed."""
+    planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack_places(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _pack_shares(shares: np.ndarray) -> bytes:
+    """(words, states) of shares from 0 to 1, in steps of 2**-15."""
+    return _pack(np.minimum(np.rint(shares.T * 32768), 32768).astype("<u2"))
+
+
+def _unpack_shares(data: bytes, words: int) -> np.ndarray:
+    steps = _unpack(data, "<u2")
+    return steps.reshape(-1 if words else 1, words).T.astype(np.float32) / 32768
+
+
+def _by_bucket(words: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, where its words are) of sorted words."""
+    buckets, first = np.unique(words >> np.uint64(64 - bits), return_index=True)
+    for bucket, a, b in zip(buckets.tolist(), first, [*first[1:], len(words)], strict=True):
+        yield bucket, slice(a, b)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """(bucket, its rows) of rows sorted by bucket, one row in memory at a time."""
+    rows = ({c: batch.column(c)[i].as_py() for c in batch.schema.names} for batch in batches for i in range(len(batch)))
+    return itertools.groupby(rows, key=lambda r: r["bucket"])
+
+
+def _to_buckets(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
 def _chunk(number: int, docs: list, lengths: list, hashes: list) -> pa.RecordBatch:
@@ -72,8 +112,8 @@ def _chunk(number: int, docs: list, lengths: list, hashes: list) -> pa.RecordBat
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     return pa.record_batch([
         pa.array([TaskContext.get().partitionId() << 32 | number]), one(docs, pa.int64()), one(n.astype(np.int32), pa.int32()),
-        one(train, pa.bool_()), one(mix(keys).view(np.int64), pa.int64()), pa.array([_pack_places(places)], pa.binary()), one(words[order].view(np.int64), pa.int64()),
-        one(trained, pa.int64())], names=[c.split()[0] for c in _CHUNKS.split(", ")])
+        one(train, pa.bool_()), one(mix(keys).view(np.int64), pa.int64()), pa.array([_pack(places.astype("<u4"))], pa.binary()),
+        pa.array([words[order].tobytes()], pa.binary()), pa.array([_pack(trained.astype("<u4"))], pa.binary())], names=[c.split()[0] for c in _CHUNKS.split(", ")])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,20 +157,91 @@ class Alphabet:
         return np.where(symbols > self.unseen, np.log10(np.maximum(counts, 1) / totals[symbols]), 0.0)
 
 
-def _unpack_shares(packed: list[np.ndarray]) -> np.ndarray:
-    """(words, 4 * columns): shares in steps of 2**-15, four to a number."""
-    return np.stack([(x >> 16 * i & 0x7FFF).astype(np.float32) / 32768 for x in packed for i in range(4)], axis=1)
+def _count(head_words: int):
+    def count(batches):
+        """What training texts hold of the words of each bucket, and its most frequent words."""
+        for bucket, rows in _groups(batches):
+            words, values, pending = [], [], 0
+            for row in rows:
+                counts = _unpack(row["counts"], "<u4")
+                seen = counts > 0
+                words.append(np.frombuffer(row["words"], np.uint64)[seen])
+                values.append(counts[seen, None].astype(np.float64))
+                pending += len(words[-1])
+                if pending > 8 * BUCKET_WORDS:
+                    words, values = [[x] for x in _summed(words, values)]
+                    pending = 0
+            words, values = _summed(words, values)
+            counts = values[:, 0].astype(np.int64)
+            bands = np.bincount(_band(counts), weights=counts, minlength=BANDS).astype(np.int64)
+            top = np.lexsort((words.view(np.int64), -counts))[:head_words]
+            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([len(words)], pa.int64()), pa.array([words.tobytes()], pa.binary()),
+                                   pa.array([_pack(counts)], pa.binary()), pa.array([bands], pa.list_(pa.int64())),
+                                   pa.array([words[top].view(np.int64)], pa.list_(pa.int64())), pa.array([counts[top]], pa.list_(pa.int64()))],
+                                  names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+    return count
+
+
+_COUNTS = "bucket int, distinct long, words binary, counts binary, bands array<long>, top_words array<long>, top_counts array<long>"
 
 
-def _packed_shares(values: list[str]) -> list:
-    """Columns of four numbers of 15 bits each, of shares of ``count``."""
-    steps = [F.least(F.round(F.col(v) / F.col("count") * 32768), F.lit(32767)).cast("long") for v in values]
-    return [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(x, 16 * i) for i, x in enumerate(steps[j : j + 4])]).alias(f"p{j // 4}")
-            for j in range(0, len(steps), 4)]
+def _band(counts: np.ndarray) -> np.ndarray:
+    return np.log2(counts + 0.5).astype(np.int64)
 
 
-def _share(k: int):
-    return F.shiftright(f"p{k // 4}", 16 * (k % 4)).bitwiseAND(F.lit(0x7FFF)) / 32768.0
+def _asked_counts(bits: int):
+    def asked(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                words = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
+                order = np.argsort(words)
+                words, trained = words[order], _unpack(batch.column("trained")[i].as_py(), "<u4")[order]
+                yield _packed([(b, 1, batch.column("chunk")[i].as_py(), words[at].tobytes(), _pack(trained[at]), None) for b, at in _by_bucket(words, bits)])
+
+    return asked
+
+
+def _asked_shares(bits: int, least: int, most: int):
+    def asked(batches):
+        for row in _rows(batches):
+            texts = Texts.of(row)
+            at = texts.asked(least, most)
+            words = texts.words[at]
+            yield _packed([(b, 1, row["chunk"], words[where].tobytes(), None, None) for b, where in _by_bucket(words, bits)])
+
+    return asked
+
+
+def _answered(values: str):
+    """What a bucket knows of the words that a chunk asks for, in the order asked: their counts or their shares."""
+    def answered(batches):
+        for bucket, rows in _groups(batches):
+            known = np.zeros(0, np.uint64)
+            for row in rows:
+                words = np.frombuffer(row["words"], np.uint64)
+                if not row["kind"]:
+                    known = words
+                    table = (_unpack(row["counts"], "<i8") if values == "counts" else
+                             _unpack(row["shares"], "<u2").reshape(-1 if len(words) else 1, len(words)))
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                    found = np.where(known[at] == words, table[..., at], 0).astype(table.dtype)
+                else:
+                    found = np.zeros(len(words), "<i8") if values == "counts" else np.zeros(0, "<u2")
+                yield pa.record_batch([pa.array([row["chunk"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(found)], pa.binary())],
+                                      names=["chunk", "bucket", "data"])
+
+    return answered
+
+
+def _told(known: DataFrame, asks: DataFrame, values: str, name: str) -> DataFrame:
+    """(chunk, ``name``): what the buckets of ``known`` say to the chunks that ask."""
+    rows = known.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "words", "counts",
+                        F.col("shares") if values == "shares" else F.lit(None).cast("binary").alias("shares"))
+    told = _to_buckets(rows.unionByName(asks)).mapInArrow(_answered(values), "chunk long, bucket int, data binary")
+    return told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias(name))
 
 
 @dataclass
@@ -146,20 +257,30 @@ class Texts:
 
     @staticmethod
     def of(row: dict) -> Texts:
-        words = np.array(row["word"], np.int64)
+        words = np.frombuffer(row["words"], np.uint64)
         n = np.array(row["n"], np.int64)
         ends = np.cumsum(n)
-        places = np.insert(_unpack_places(row["places"]), ends, len(words))
-        own = row.get("own")
-        if own is not None:
-            at, *packed = (x.to_numpy() for x in own.flatten())
-            own = at, _unpack_shares(packed)
-        return Texts(words, np.array(row["count"], np.int64), places, ends - n + np.arange(len(n)), n + 1, own)
+        places = np.insert(_unpack(row["places"], "<u4").astype(np.int64), ends, len(words))
+        counts = np.zeros(len(words), np.int64)
+        if row["counts"]:
+            counts[np.argsort(words)] = np.concatenate([_unpack(x["data"], "<i8") for x in row["counts"]])
+        texts = Texts(words, counts, places, ends - n + np.arange(len(n)), n + 1, None)
+        if row.get("own"):
+            at = texts.asked(row["least"], row["most"])
+            buckets = [_unpack(x["data"], "<u2") for x in row["own"]]
+            states = sum(map(len, buckets)) // len(at)
+            texts.own = at, np.concatenate([x.reshape(states, -1) for x in buckets], axis=1).T.astype(np.float32) / 32768
+        return texts
+
+    def asked(self, least: int, most: int) -> np.ndarray:
+        """Places of the words that occur so often in training, by their hashes."""
+        order = np.argsort(self.words)
+        return order[(self.counts[order] >= least) & (self.counts[order] <= most)]
 
     def symbols(self, alphabet: Alphabet, training: bool) -> np.ndarray:
         """Symbols of the words, and the end."""
         seen = np.maximum(self.counts - 1, 0) if training else self.counts
-        return np.append(alphabet.symbols(self.words, seen), alphabet.end)
+        return np.append(alphabet.symbols(self.words.view(np.int64), seen), alphabet.end)
 
     def emissions(self, alphabet: Alphabet, model: hmm.Model, bands: Bands | None, training: bool) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, emissions of the words and the end): what the states make of a symbol, and of the word within its band."""
@@ -186,29 +307,61 @@ class Bands:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    arrays = ("n", "train", "key")
     for batch in batches:
         for i in range(len(batch)):
-            yield {c: batch.column(c)[i].as_py() if c in ("chunk", "places") else batch.column(c)[i].values if c in ("own", "doc_id") else
-                   batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            yield {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) if c in arrays else batch.column(c)[i].values if c == "doc_id" else
+                   batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
 def _numbers(counts: hmm.Counts, likelihood: float, states: int) -> pa.RecordBatch:
-    """Rows (item, value per state): symbols from 0, then -1 the start, -2 the likelihood, -3 - k the moves from state k."""
-    used = np.flatnonzero(counts.emissions.any(axis=1))
-    items = np.concatenate((used, [-1, -2], -3 - np.arange(states)))
-    values = np.concatenate((counts.emissions[used], counts.start[None], np.full((1, states), likelihood), counts.moves))
-    return _table(items, values)
-
-
-def _table(items: np.ndarray, values: np.ndarray, word: bool = False) -> pa.RecordBatch:
-    states = range(values.shape[1])
-    return pa.record_batch([pa.array(np.full(len(items), word)), pa.array(items, pa.int64()),
-                            *[pa.array(np.ascontiguousarray(values[:, k], np.float64)) for k in states]],
-                           names=["word", "item", *[f"s{k}" for k in states]])
-
-
-def _schema(states: int) -> str:
-    return ", ".join(["word boolean, item long", *[f"s{k} double" for k in range(states)]])
+    """Rows of blocks of numbers: the counts of the symbols, then of the start, the likelihood and the moves."""
+    values = np.concatenate((counts.emissions, counts.start[None], np.full((1, states), likelihood), counts.moves))
+    return _packed([(-1 - b, 1, None, None, None, _pack(values[b * BLOCK_SYMBOLS : (b + 1) * BLOCK_SYMBOLS])) for b in range(-(-len(values) // BLOCK_SYMBOLS))])
+
+
+def _sums(words: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows of expected counts of words: their sums, and how these are dealt over the states."""
+    totals = values.sum(axis=1)
+    shares = values / np.maximum(totals, 1e-30)[:, None]
+    return _packed([(b, 1, None, words[at].tobytes(), _pack(totals[at].astype("<f4")), _pack_shares(shares[at])) for b, at in _by_bucket(words, bits)])
+
+
+def _reduced(alphabet: Alphabet, states: int):
+    def reduced(batches):
+        """Per bucket the shares of the states in each word, and of each band sums of words weighed by count, whole and with one left out."""
+        for bucket, rows in _groups(batches):
+            if bucket < 0:
+                total = sum(_unpack(row["shares"], "<f8") for row in rows)
+                yield _known(bucket, None, None, _pack(total), None)
+                continue
+            words, counts, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, states))
+            for row in rows:
+                more = np.frombuffer(row["words"], np.uint64)
+                if not row["kind"]:
+                    words, counts, sums = more, _unpack(row["counts"], "<i8"), np.zeros((len(more), states))
+                else:
+                    sums[np.searchsorted(words, more)] += _unpack_shares(row["shares"], len(more)) * _unpack(row["counts"], "<f4")[:, None].astype(np.float64)
+            shares = np.minimum(sums / np.maximum(counts, 1)[:, None], 1.0)
+            rare = alphabet.symbols(words.view(np.int64), counts) > alphabet.unseen
+            bands = np.zeros((2, BANDS, states + 1))
+            for left_out in (0, 1):
+                weighed = rare & (counts > left_out)
+                weight = counts[weighed] - left_out
+                for k in range(states + 1):
+                    bands[left_out, :, k] = np.bincount(_band(weight), weights=weight * (shares[weighed, k] if k < states else 1.0), minlength=BANDS)
+            yield _known(bucket, words.tobytes(), _pack(counts), _pack_shares(shares), bands.reshape(-1))
+
+    return reduced
+
+
+_KNOWN = "bucket int, words binary, counts binary, shares binary, bands array<double>"
+
+
+def _known(bucket, words, counts, shares, bands) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+    return pa.record_batch([pa.array([x], t) for x, t in zip((bucket, words, counts, shares, bands), kinds, strict=True)],
+                           names=[c.split()[0] for c in _KNOWN.split(", ")])
 
 
 def _summed(items: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,19 +371,11 @@ def _summed(items: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarr
     return distinct, np.stack([np.bincount(at, weights=rows[:, k], minlength=len(distinct)) for k in range(rows.shape[1])], axis=1)
 
 
-def _model_of(rows: list, prior: np.ndarray, states: int) -> tuple[hmm.Model, float]:
-    counts, likelihood = hmm.Counts(np.zeros(states), np.zeros((states, states)), np.zeros((len(prior), states))), 0.0
-    for row in rows:
-        item, values = row["item"], [row[f"s{k}"] for k in range(states)]
-        if item >= 0:
-            counts.emissions[item] = values
-        elif item == -1:
-            counts.start[:] = values
-        elif item == -2:
-            likelihood = values[0]
-        else:
-            counts.moves[-3 - item] = values
-    return hmm.estimate(counts, prior), likelihood
+def _model_of(blocks: dict[int, np.ndarray], prior: np.ndarray, states: int) -> hmm.Model:
+    """Model of the blocks of ``_numbers`` by bucket."""
+    values = np.concatenate([blocks[b] for b in sorted(blocks, reverse=True)]).reshape(-1, states)
+    size = len(prior)
+    return hmm.estimate(hmm.Counts(values[size], values[size + 2 :], values[:size]), prior)
 
 
 def _chosen(alphabet: Alphabet, places: dict[int, list[int]]):
@@ -268,10 +413,10 @@ def _first_counts(known: DataFrame, chunks: DataFrame, alphabet: Alphabet, prior
     if not places:
         return []
     found = known.filter(F.col("chunk").isin(list(places))).mapInArrow(_chosen(alphabet, places), "key long, symbols binary")
-    return found.repartition(1).sortWithinPartitions("key", "symbols").mapInArrow(_first(prior, states), _schema(states)).collect()
+    return found.repartition(1).sortWithinPartitions("key", "symbols").mapInArrow(_first(prior, states), _PACKED).collect()
 
 
-def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None, least: int):
+def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None, least: int, bits: int):
     states = len(model.start)
 
     def expect(batches):
@@ -295,47 +440,35 @@ def _expect(alphabet: Alphabet, model: hmm.Model, bands: Bands | None, least: in
             if sum(map(len, items)) > TASK_WORDS:
                 items, values = [[x] for x in _summed(items, values)]
                 if len(items[0]) > TASK_WORDS // 2:
-                    yield _table(items[0], values[0], True)
+                    yield _sums(items[0], values[0], bits)
                     items, values = [], []
         if items:
-            yield _table(*_summed(items, values), True)
+            yield _sums(*_summed(items, values), bits)
         if sums is not None:
             yield _numbers(sums, likelihood, states)
 
     return expect
 
 
-def _passed(known: DataFrame, rare: DataFrame, step, prior: np.ndarray, states: int) -> tuple[hmm.Model, DataFrame, Bands]:
-    """Model, (word, count, packed shares of the states in it) of rare words, and the bands, after a pass over all training texts."""
-    values = [f"s{k}" for k in range(states)]
-    sums = known.mapInArrow(step, _schema(states)).repartition("word", "item").groupBy("word", "item").agg(*[F.sum(s).alias(s) for s in values])
-    sums = sums.join(rare.select(F.lit(True).alias("word"), F.col("word").alias("item"), "count"), ["word", "item"], "left")
-    sums = materialize(sums.select("item", "count", *[F.when(~F.col("word"), F.col(s)).alias(s) for s in values], *_packed_shares(values)), "sums")
-    model, _ = _model_of(sums.filter("count is null").select("item", *values).collect(), prior, states)
-    own = sums.filter("count is not null").drop(*values).withColumnRenamed("item", "word")
-    tables = []
-    for left_out in (0, 1):
-        weight = F.col("count") - left_out
-        table = np.zeros((BANDS, states))
-        for band, *row in own.filter(weight > 0).groupBy(_band(weight)).agg(*[F.sum(_share(k) * weight) / F.sum(weight) for k in range(states)]).collect():
-            table[band] = row
-        tables.append(table)
-    return model, own, Bands(*tables)
-
-
-def _band(count):
-    return F.floor(F.log2(count + F.lit(0.5))).cast("int")
+def _passed(told: DataFrame, counts: DataFrame, step, alphabet: Alphabet, prior: np.ndarray, states: int) -> tuple[hmm.Model, DataFrame, Bands]:
+    """Model, what is known of the words of each bucket, and the bands, after a pass over all training texts."""
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("chunk", "long"), ("shares", "binary"))]
+    counted = counts.select("bucket", F.lit(0).alias("kind"), empty[0], "words", "counts", empty[1])
+    sums = _to_buckets(counted.unionByName(told.mapInArrow(step, _PACKED)))
+    sums = materialize(sums.mapInArrow(_reduced(alphabet, states), _KNOWN), "sums")
+    model = _model_of({r["bucket"]: _unpack(r["shares"], "<f8") for r in sums.filter("bucket < 0").select("bucket", "shares").collect()}, prior, states)
+    own = sums.filter("bucket >= 0")
+    table = np.zeros(2 * BANDS * (states + 1))
+    for at, total in own.select(F.posexplode("bands").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect():
+        table[at] = total
+    table = table.reshape(2, BANDS, states + 1)
+    return model, own, Bands(*(table[..., :states] / np.maximum(table[..., states:], 1e-30)))
 
 
-def _with_own(known: DataFrame, own: DataFrame, least: int, most: int) -> DataFrame:
-    """Chunks with the numbers of their own rare words that occur at least ``least`` times; no rare word occurs more than ``most`` times."""
-    asked = known.select("chunk", F.posexplode(F.arrays_zip("word", "count")).alias("at", "w")).filter(F.col("w.count").between(least, most))
-    packed = [c for c in own.columns if c not in ("word", "count")]
-    told = asked.select("chunk", "at", "w.word").join(own.drop("count"), "word").groupBy("chunk").agg(
-        F.collect_list(F.struct("at", *packed)).alias("own"))
-    told = known.join(told, "chunk", "left")
-    empty = F.array().cast(told.schema["own"].dataType)
-    return told.withColumn("own", F.coalesce("own", empty))
+def _with_own(known: DataFrame, own: DataFrame, least: int, most: int, bits: int) -> DataFrame:
+    """Chunks with the shares of their own rare words that occur at least ``least`` times; no rare word occurs more than ``most`` times."""
+    told = _told(own, known.mapInArrow(_asked_shares(bits, least, most), _PACKED), "shares", "own")
+    return known.join(told, "chunk", "left").withColumns({"least": F.lit(least), "most": F.lit(most)})
 
 
 def _by_chunk(df: DataFrame, name: str) -> DataFrame:
@@ -393,9 +526,9 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are the words of the whole text
     (A-Z in lower case) and an end. Training learns from documents whose crc32 of the id as text, modulo 7, is not 2.
     Words are known by 64-bit hashes, so their length does not matter. The table of counts of all words is never
-    broadcast: each chunk of texts asks for its own words by a join. What is sent around has a fixed size (``head_words``
-    plus bands, times ``states``); the expected counts of all other words stay in a table, and before each pass and the
-    scoring each chunk asks for those of its own words. Baum-Welch takes ``passes`` passes over all training texts, each
+    broadcast: each chunk of texts asks the buckets for its own words. What is sent around has a fixed size (``head_words``
+    plus bands, times ``states``); the expected counts of all other words stay in their buckets, and before each pass and the
+    scoring each chunk asks for those of its own words, which come in steps of 2^-15. Baum-Welch takes ``passes`` passes over all training texts, each
     summing counts per task before the shuffle; the first one knows rare words by their bands only. The starting point
     comes from ``FIRST_TEXTS`` training texts with the least hash of id and words, so neither files nor splits change it.
 
@@ -406,28 +539,38 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, states: int = STA
         return _scored(docs, head_words, states, passes)
 
 
+def _bucket_bits(chunks: DataFrame) -> int:
+    """Bits of the hash that make a word's bucket, from the number of distinct words, which a part of all hashes estimates."""
+    def part(batches):
+        for batch in batches:
+            for data in batch.column("words").to_pylist():
+                words = np.frombuffer(data, np.uint64)
+                yield pa.record_batch([pa.array(words[words & np.uint64(1023) == 0].view(np.int64))], names=["word"])
+
+    distinct = chunks.select("words").mapInArrow(part, "word long").distinct().count() * 1024
+    return max(5, (distinct // BUCKET_WORDS).bit_length())
+
+
 def _scored(docs: DataFrame, head_words: int, states: int, passes: int) -> DataFrame:
-    spark = docs.sparkSession
     chunks = _by_chunk(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNKS), "chunks")
-    words = chunks.select(F.explode(F.arrays_zip("word", "trained")).alias("w")).select("w.word", "w.trained").filter("trained > 0")
-    counts = materialize(words.groupBy("word").agg(F.sum("trained").alias("count")), "counts")
     train_docs = chunks.select(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    top = counts.orderBy(F.col("count").desc(), "word").limit(head_words).collect()
-    head = np.array([r["word"] for r in top], np.int64)
-    rare = counts.join(F.broadcast(spark.createDataFrame([(int(w),) for w in head], "word long")), "word", "left_anti")
-    totals = {r["band"]: r["total"] for r in rare.groupBy(_band(F.col("count")).alias("band")).agg(F.sum("count").alias("total")).collect()}
-    n, distinct = counts.agg(F.sum("count"), F.count("*")).first()
-    alphabet = Alphabet(head, train_docs, totals, (n or 0) + train_docs, distinct + (train_docs > 0))
-
-    asked = chunks.select("chunk", F.posexplode("word").alias("at", "word"))
-    counted = asked.join(counts, "word", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(
-        F.struct("at", F.coalesce("count", F.lit(0)).alias("count")))).alias("c"))
-    known = chunks.drop("trained").join(_by_chunk(counted.select("chunk", F.col("c.count").alias("count")), "known"), "chunk", "left")
-    known = known.withColumn("count", F.coalesce("count", F.array().cast("array<long>")))
+    bits = _bucket_bits(chunks)
+    asks = chunks.select("chunk", "words", "trained").mapInArrow(_asked_counts(bits), _PACKED)
+    counts = materialize(_to_buckets(asks).mapInArrow(_count(head_words), _COUNTS), "counts")
+    tops = counts.select(F.explode(F.arrays_zip("top_words", "top_counts")).alias("t")).select(F.col("t.top_words").alias("word"), F.col("t.top_counts").alias("count"))
+    top = tops.orderBy(F.col("count").desc(), "word").limit(head_words).collect()
+    head, rank = np.array([r["word"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
+    totals = np.zeros(BANDS, np.int64)
+    for at, total in counts.select(F.posexplode("bands").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect():
+        totals[at] = total
+    n, distinct = int(totals.sum()), counts.agg(F.sum("distinct")).first()[0] or 0
+    np.subtract.at(totals, _band(rank), rank)
+    totals = {b: int(total) for b, total in enumerate(totals) if total}
+    alphabet = Alphabet(head, train_docs, totals, n + train_docs, distinct + (train_docs > 0))
+    known = chunks.drop("trained").join(_by_chunk(_told(counts, asks, "counts", "counts"), "known"), "chunk", "left")
 
     # What is known of each symbol at the start: its share, with a little for all.
     share = np.zeros(alphabet.size)
-    rank = np.array([r["count"] for r in top], float)
     share[: len(head)] = rank
     share[alphabet.end] = train_docs
     for b, total in totals.items():
@@ -439,10 +582,10 @@ def _scored(docs: DataFrame, head_words: int, states: int, passes: int) -> DataF
     first = _first_counts(known, chunks, alphabet, prior, states)
     bands, told = None, known
     if first:
-        model, _ = _model_of(first, prior, states)
+        model = _model_of({r["bucket"]: _unpack(r["shares"], "<f8") for r in first}, prior, states)
         for left in reversed(range(passes)):
             # In training a word that occurs once stands for an unseen one, so only the scoring needs its own counts.
             least = 2 if left else 1
-            model, own, bands = _passed(told, rare, _expect(alphabet, model, bands, least), prior, states)
-            told = _with_own(known, own, least, int(top[-1]["count"]) if top else 0)
+            model, own, bands = _passed(told, counts, _expect(alphabet, model, bands, least, bits), alphabet, prior, states)
+            told = _with_own(known, own, least, int(rank[-1]) if len(rank) else 0, bits)
     return told.mapInArrow(_score(alphabet, model, bands), _SCORES)
