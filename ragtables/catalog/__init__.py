@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from ragtables.catalog import conversations, integrity, retrieval, snapshots, sources, text, training  # noqa: F401
+    from ragtables.catalog import conversations, integrity, retrieval, snapshots, sources, text, training, weighting  # noqa: F401
