@@ -56,6 +56,23 @@ class EliasFano:
         place = byte * 8 + int(np.flatnonzero(np.unpackbits(np.array([first], np.uint8), bitorder="little"))[left])
         return (place - i) << self.width | self._low(i)
 
+    def select_run(self, first: int, last: int) -> np.ndarray:
+        """Values number ``first`` to ``last - 1``: bits are read from the sample before the first to the one after the last."""
+        if not 0 <= first <= last <= self.count:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        number = first // SAMPLE
+        begin = int(self.samples[number]) // 8
+        after = (last - 1) // SAMPLE + 1
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")).astype(np.int64) + begin * 8
+        ones = ones[np.searchsorted(ones, int(self.samples[number])) :][first - number * SAMPLE : last - number * SAMPLE]
+        bit, stop = first * self.width, last * self.width
+        bits = np.unpackbits(self.low[bit // 8 : -(-stop // 8)], bitorder="little")[bit % 8 : bit % 8 + stop - bit]
+        low = bits.reshape(last - first, self.width).astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
+        return (ones - np.arange(first, last)) << self.width | low
+
     def _low(self, i: int) -> int:
         begin = i * self.width
         part = int.from_bytes(self.low[begin // 8 : (begin + self.width + 7) // 8].tobytes(), "little")

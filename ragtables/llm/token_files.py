@@ -29,6 +29,8 @@ from ragtables.session import materialize, scratch_path
 MAGIC = b"EFTOK1"
 _HEAD = "<6sBxIIIQIqI"
 BLOCK_IDS = 2 << 20
+#: Documents whose boundaries are read at once.
+RUN_DOCS = 4096
 CACHED_WORDS = 400_000
 END_ID = 2
 
@@ -148,8 +150,11 @@ class Block:
     def ids(self, i: int) -> np.ndarray:
         return self.tokens[self.start(i) : self.ends.select(i)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.known.decode() + self.base).tolist()
+    def doc_ids(self, first: int = 0, last: int | None = None) -> list[int | None]:
+        """Ids of documents ``first`` to ``last - 1``, or to the end; those without id come first."""
+        last = self.ends.count if last is None else last
+        known = self.known.select_run(max(first - self.nulls, 0), max(last - self.nulls, 0)) + self.base
+        return [None] * (last - first - len(known)) + known.tolist()
 
 
 def _pack(vocabulary: str, end_id: int) -> Callable:
@@ -189,18 +194,21 @@ _READ = "range long, number long, place long, doc_id long, start long, n_tokens
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the documents of each block, in runs: the boundaries of a run come from select, its ids by slices between them."""
     for batch in batches:
         for content in batch.column("content"):
             block = Block(content.as_py())
-            ends = block.ends.decode()
-            starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
-            wide = memoryview(block.tokens.astype("<u4").tobytes())
-            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            n = len(ends)
-            yield pa.record_batch([pa.array(np.full(n, block.range)), pa.array(np.full(n, block.number)), pa.array(np.arange(n)),
-                                   pa.array(block.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts),
-                                   pa.array(crc, pa.int64()), pa.array(np.full(n, block.n_ids))],
-                                  names=[c.split()[0] for c in _READ.split(", ")])
+            for first in range(0, block.ends.count, RUN_DOCS):
+                last = min(first + RUN_DOCS, block.ends.count)
+                ends = block.ends.select_run(first, last)
+                starts = np.concatenate(([block.start(first)], ends[:-1])).astype(np.int64)
+                wide = memoryview(block.tokens[starts[0] : ends[-1]].astype("<u4").tobytes())
+                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip((starts - starts[0]).tolist(), (ends - starts[0]).tolist(), strict=True)]
+                n = last - first
+                yield pa.record_batch([pa.array(np.full(n, block.range)), pa.array(np.full(n, block.number)), pa.array(np.arange(first, last)),
+                                       pa.array(block.doc_ids(first, last), pa.int64()), pa.array(starts), pa.array(ends - starts),
+                                       pa.array(crc, pa.int64()), pa.array(np.full(n, block.n_ids))],
+                                      names=[c.split()[0] for c in _READ.split(", ")])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ def test_elias_fano_finds_every_value():
         view = EliasFano(b"xx" + data, 2)
         assert view.end == len(data) + 2 and (view.decode() == values).all()
         assert [view.select(i) for i in range(n)] == values.tolist()
+        assert all((view.select_run(a, b) == values[a:b]).all() for a in range(0, n + 1, 37) for b in (a, min(a + 1, n), min(a + 300, n), n))
         with pytest.raises(IndexError):
             view.select(n)
     assert len(encode(np.arange(0, 10**6, 100))) < 10**4 * 10 / 8 * 1.2 + 60
@@ -70,6 +72,23 @@ def test_token_files_hold_the_ids_of_the_library(spark, tmp_path):
     assert token_files.token_files(docs(spark, []), path).count() == 0
 
 
+def test_documents_are_read_through_select(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 50_000, int(n)).astype("<u2") for n in rng.integers(1, 40, 1000)]
+    numbers = [None, None, *range(7, 7 + 998 * 3, 3)]
+    block = token_files.pack_block((4, 2), numbers, [x.tobytes() for x in ids], "<u2")
+    monkeypatch.setattr(EliasFano, "decode", lambda self: pytest.fail("all boundaries were decoded"))
+    monkeypatch.setattr(token_files, "RUN_DOCS", 64)
+    spans, bits = [], np.unpackbits
+    monkeypatch.setattr(np, "unpackbits", lambda a, **more: spans.append(len(a)) or bits(a, **more))
+    rows = [r for batch in token_files._unpack([pa.record_batch({"content": pa.array([block], pa.binary())})]) for r in batch.to_pylist()]
+    starts = np.cumsum([0, *map(len, ids)])
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["place"]) for r in rows] == [
+        (d, a, len(x), i) for i, (d, a, x) in enumerate(zip(numbers, starts.tolist(), ids))]
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+    assert max(spans) < 400  # of about 750 bytes of low bits and more of high ones
+
+
 def test_damaged_token_file_is_an_error():
     block = bytearray(token_files.pack_block((0, 0), [None, 5], [b"\1\0\2\0", b"\2\0"], "<u2"))
     read = token_files.Block(bytes(block) + b"\n")
