@@ -8,6 +8,7 @@ from ragtables.catalog import query
 from ragtables.catalog.chunk_sql import chunk_sql
 from ragtables.catalog.fixtures import view
 from ragtables.functions import text as X
+from ragtables.functions.encodings import decode_bytes, detect_encoding
 from ragtables.functions.names import file_extension, mime_extension
 from ragtables.operators import html_text as H
 from ragtables.operators.chunking import chunk_documents as chunk
@@ -230,3 +231,22 @@ def retrieve_passages(spark, sf):
                            (F.col("conversation_id") % 10).cast("int").alias("bot_id"))
     hits = passages(queries, chunks, vectors, max_distance=0.9)
     return hits.select("query_id", "rank", "source_id", "chunk_index", F.round("distance", 6).alias("distance"))
+
+
+#: Documents by turns in five encodings; those with letters beyond Latin-1 are not written in single bytes.
+CHARSETS = ["UTF-8", "UTF-16LE", "UTF-16BE", "UTF-32", "ISO-8859-1"]
+
+
+@query("detect_encoding", r"""
+    SELECT doc_id, md5(coalesce(text, '')) AS text_md5,
+           CASE WHEN coalesce(text, '') = '' THEN 'UTF-8' WHEN doc_id % 5 = 1 THEN 'UTF-16LE' WHEN doc_id % 5 = 2 THEN 'UTF-16BE'
+                WHEN doc_id % 5 = 3 THEN 'UTF-32BE' WHEN doc_id % 5 = 4 AND regexp_full_match(text, '[\x{00}-\x{7F}\x{A0}-\x{FF}]*', 's')
+                     AND NOT regexp_full_match(text, '[\x{00}-\x{7F}]*', 's') THEN 'windows-1252' ELSE 'UTF-8' END AS charset
+    FROM documents""")
+def detect_encoding_query(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    number = F.when((F.col("doc_id") % 5 == 4) & ~text.rlike(r"\A[\x00-\x7F\xA0-\xFF]*\z"), 0).otherwise(F.col("doc_id") % 5)
+    content = F.coalesce(*[F.when(number == i, F.encode(text, charset)) for i, charset in enumerate(CHARSETS)])
+    files = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", content.alias("content"))
+    told = files.withColumn("charset", detect_encoding(F.col("content")))
+    return told.select("doc_id", F.md5(decode_bytes(F.col("content"), F.col("charset")).cast("binary")).alias("text_md5"), "charset")
