@@ -76,7 +76,9 @@ def _unpack_shares(data: bytes, words: int) -> np.ndarray:
 
 
 def _by_bucket(words: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """(bucket, where its words are) of sorted words."""
+    """(bucket, where its words are) of sorted words; nothing of none."""
+    if not len(words):
+        return
     buckets, first = np.unique(words >> np.uint64(64 - bits), return_index=True)
     for bucket, a, b in zip(buckets.tolist(), first, [*first[1:], len(words)], strict=True):
         yield bucket, slice(a, b)

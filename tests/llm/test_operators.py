@@ -434,3 +434,12 @@ def test_main_text_of_known_and_unknown_layouts(spark, sf):
         blocks = [" ".join(html.unescape(b).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert got[r.page_id].text == "\n\n".join(b for b in blocks if b)
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_no_words_have_no_buckets():
+    import numpy as np
+
+    from ragtables.llm.hmm_lm import _by_bucket
+
+    assert list(_by_bucket(np.zeros(0, np.uint64), 4)) == []
+    assert [(b, s.start, s.stop) for b, s in _by_bucket(np.array([1, 1 << 63], np.uint64), 1)] == [(0, 0, 1), (1, 1, 2)]
