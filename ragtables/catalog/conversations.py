@@ -69,8 +69,7 @@ def route_messages_stream(spark, sf):
     from ragtables.streaming.routing import route_stream
 
     base = scratch_path(spark, "routes")
-    raw = spark.readStream.schema(view(spark, sf, "events").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(view(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
     events = spark.sql(VIEWS["v_mixed_events"].replace("FROM events", "FROM {events}"), events=raw)
     sink = (route_stream(events).writeStream.format("parquet").option("path", f"{base}/out")
             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())

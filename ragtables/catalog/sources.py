@@ -315,7 +315,7 @@ def stream_ingest(spark, sf):
 
     base = scratch_path(spark, "stream")
     schema = view(spark, sf, "documents").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet")
     texts = raw.select(F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("bot_id"),
                        F.lit("org").alias("organization_id"), "text")
     done = run(texts, f"{base}/chunks", f"{base}/vectors", f"{base}/checkpoint", dimensions=256, folders=8,
