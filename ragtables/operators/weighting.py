@@ -51,7 +51,9 @@ def weigh_terms(texts: DataFrame, weights: DataFrame, key: str = "document_id",
     """
     n = weights.agg(F.max("n_documents")).first()[0] or 0
     known = broadcast_if_small(weights.select("term", F.col("weight").alias("_idf")))
-    counts = texts.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # Dealt by key before the words are cut out: the counts, the lookups and the lengths then stay where the text is.
+    dealt = texts.select(key, text).repartition(key)
+    counts = dealt.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     idf = F.coalesce("_idf", F.log(F.lit(n + 1.0)) + 1.0)
     weighed = counts.join(known, "term", "left").select(key, F.struct("term", "tf", (F.col("tf") * idf).alias("w")).alias("t"))
     vectors = weighed.groupBy(key).agg(F.collect_list("t").alias("t"), F.sqrt(F.sum(F.col("t.w") * F.col("t.w"))).alias("norm"))

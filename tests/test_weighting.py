@@ -86,3 +86,13 @@ def test_hashed_vectors_and_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert fit_term_weights(none).count() == 0 and weigh_terms(none, fit_term_weights(none)).count() == 0
     assert math.isclose(weigh_terms(texts.filter("document_id = 'b'"), fit_term_weights(none)).first().weight, math.sqrt(0.5))
+
+
+def test_words_are_not_shuffled_where_weights_are_broadcast(spark):
+    from ragtables.operators.weighting import fit_term_weights, weigh_terms
+    from tests.conftest import plan
+
+    texts = spark.createDataFrame([(1, "a b a"), (2, "b c"), (2, "c"), (None, "a")], "document_id long, text string")
+    weighed = weigh_terms(texts, fit_term_weights(texts, "text"), text="text")
+    assert plan(weighed).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    assert sorted((r.document_id or 0, r.term, r.tf) for r in weighed.collect()) == [(0, "a", 1), (1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 2)]
