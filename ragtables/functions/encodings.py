@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Least share of two-byte units of a text in UTF-16 without a mark whose high byte is that of an alphabet from Latin to Arabic.
 ALPHABET_SHARE = 0.5
+FIRST_UNITS = 64
 
 _WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 # Patterns over the hex digits of whole units. A pattern goes on unit by unit, so none of them starts within one.
@@ -22,7 +23,11 @@ def _kept(digits: Column, pattern: str) -> Column:
 
 
 def _whole_utf32(digits: Column, charset: str) -> Column:
-    return (F.length(digits) % 8 == 0) & (F.regexp_replace(digits, f"{_CHARACTER[charset]}|(.{{8}})", "$1") == "")
+    def whole(units):
+        return F.regexp_replace(units, f"{_CHARACTER[charset]}|(.{{8}})", "$1") == ""
+
+    # The first units tell other encodings apart before all are looked at.
+    return (F.length(digits) % 8 == 0) & whole(F.substring(digits, 1, 8 * FIRST_UNITS)) & whole(digits)
 
 
 def _whole_utf16(digits: Column, charset: str) -> Column:
