@@ -168,7 +168,7 @@ def job_status_rollup(spark, sf):
 
 @query("job_status_stream", ROLLED_UP)
 def job_status_stream(spark, sf):
-    """Outcomes of sources as a stream in three files; the status of each job is kept up to date in a store."""
+    """Outcomes of sources as a stream in three batches; the status of each job is kept up to date in a store."""
     from ragtables.session import scratch_path
     from ragtables.sources.snapshots import Store
     from ragtables.streaming.jobs import roll_up_stream
@@ -176,11 +176,12 @@ def job_status_stream(spark, sf):
     base = scratch_path(spark, "outcomes")
     outcomes = view(spark, sf, "v_source_outcomes")
     for part in range(3):
-        outcomes.filter(F.col("source_no") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        outcomes.filter(F.col("source_no") % 3 == part).write.mode("append").parquet(f"{base}/in")
+    files = len(spark.read.schema(outcomes.schema).parquet(f"{base}/in").inputFiles())
     store = Store(spark, f"{base}/store")
     jobs = view(spark, sf, "v_jobs").select("job_id", F.lit("failed").alias("status"), F.lit(None).cast("timestamp_ntz").alias("completed_at"))
     store.publish({"jobs": jobs})
-    stream = spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(f"{base}/in")
     roll_up_stream(stream, store, f"{base}/checkpoint", _now()).awaitTermination()
     return store.read("jobs", D.JOB_CHANGES).select("job_id", "status")
 
