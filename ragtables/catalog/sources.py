@@ -98,9 +98,13 @@ def read_page_parts(spark, sf):
 def read_text_files(spark, sf):
     """The conversations as one text file each, written and read back whole."""
     path = scratch_path(spark, "texts")
-    merged = S.merge_parts(_parts(spark, sf)).select("file_id", "text")
-    merged.write.partitionBy("file_id").text(path)
-    texts = S.read_text_files(spark, f"{path}/file_id=*/*.txt")
+    # A file costs the same whatever its length, so tasks are dealt by number and not pooled by bytes.
+    dealt = _parts(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "file_id")
+    merged = S.merge_parts(dealt).select("file_id", "text")
+    # Tasks put their files in place themselves, and a task lists one of a few folders, not one per file.
+    folder = F.pmod(F.xxhash64("file_id"), F.lit(64))
+    merged.withColumn("folder", folder).write.partitionBy("folder", "file_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    texts = S.read_text_files(spark, path)
     file_id = F.regexp_extract("path", r"file_id=(\d+)/", 1).cast("long")
     return texts.select(file_id.alias("file_id"), F.length("text").alias("n_chars"),
                         F.sha2("text", 256).alias("text_hash"))
