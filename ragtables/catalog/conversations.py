@@ -65,12 +65,11 @@ def route_mixed_messages(spark, sf):
 @query("route_messages_stream", MIXED)
 def route_messages_stream(spark, sf):
     """The same events as a stream through keyed state."""
-    from ragtables.catalog.fixtures import VIEWS
+    from ragtables.catalog.fixtures import VIEWS, stream
     from ragtables.streaming.routing import route_stream
 
     base = scratch_path(spark, "routes")
-    raw = spark.readStream.schema(view(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
-    events = spark.sql(VIEWS["v_mixed_events"].replace("FROM events", "FROM {events}"), events=raw)
+    events = spark.sql(VIEWS["v_mixed_events"].replace("FROM events", "FROM {events}"), events=stream(spark, sf, "events"))
     sink = (route_stream(events).writeStream.format("parquet").option("path", f"{base}/out")
             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     sink.awaitTermination()

@@ -185,6 +185,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream. A pattern, as the source takes a plain path for a folder and a table may be one file."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
     if name not in VIEWS:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ragtables.catalog import query
 from ragtables.catalog.chunk_sql import chunk_sql
-from ragtables.catalog.fixtures import view
+from ragtables.catalog.fixtures import stream, view
 from ragtables.catalog.text import CHUNKED, FULL_SQL, MAIN_SQL, clean_sql
 from ragtables.functions.text import clean_text
 from ragtables.operators.chunking import chunk_documents
@@ -284,8 +284,8 @@ def stream_sources(spark, sf):
     for parts in ((0, 1), (2, 0)):
         for part in parts:
             rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(sources.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        run(stream, store, lambda: landed, f"{base}/checkpoint", dimensions=64).awaitTermination()
+        arrived = spark.readStream.schema(sources.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        run(arrived, store, lambda: landed, f"{base}/checkpoint", dimensions=64).awaitTermination()
     chunks = store.read("chunks").join(store.read("vectors").select("document_id"), "document_id")
     per_source = chunks.groupBy("source_id").agg(F.count("*").alias("n_vectors"), F.sum(F.length("content")).alias("n_chars"))
     return newest_outcomes(store).join(per_source, "source_id", "left").select(
@@ -318,9 +318,7 @@ def stream_ingest(spark, sf):
     from ragtables.streaming.ingest import stream_ingest as run
 
     base = scratch_path(spark, "stream")
-    schema = view(spark, sf, "documents").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet")
-    texts = raw.select(F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("bot_id"),
+    texts = stream(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("bot_id"),
                        F.lit("org").alias("organization_id"), "text")
     done = run(texts, f"{base}/chunks", f"{base}/vectors", f"{base}/checkpoint", dimensions=256, folders=8,
                prepare=lambda batch: batch.withColumn("text", clean_text(F.col("text"))))
