@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import string
 import struct
 import zlib
 from array import array
@@ -38,6 +39,7 @@ END_ID = 2
 # Fixed values of byte-level vocabularies: the pattern that cuts text, and the characters that stand for bytes.
 CUT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 PLAIN = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+MARKS = string.punctuation
 #: Beyond this character the pattern is left to the library, whose Unicode tables may differ.
 LAST_CUT = "\u024f"
 
@@ -46,7 +48,8 @@ class Pieces(dict):
     """Ids of the pieces of texts between blanks, encoded by the library when first met.
 
     A piece is "\\0" and a word at the start of a text, a line end and a word, or a word after a single blank.
-    Others are a KeyError.
+    Others are a KeyError. A word of letters after a blank is one stem, and so are marks at the end of one; only other
+    words are cut by the pattern.
     """
 
     def __init__(self, tokenizer, kind: str):
@@ -54,24 +57,42 @@ class Pieces(dict):
         self.stems: dict[str, bytes] = {}
         rest = iter(range(0x100, 0x200))
         self.letters = {i: i if i in PLAIN else next(rest) for i in range(256)}
+        self.blank = chr(self.letters[0x20])
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() and (piece.isascii() or max(piece) <= LAST_CUT):
+            ids = self[piece] = self._ids(" " + piece)
+            return ids
         word = piece.removeprefix("\0").removeprefix("\n")
         if word.split() != [word]:
             raise KeyError(piece)
-        text = piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
-        if max(text) > LAST_CUT:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        stem = piece.rstrip(MARKS)
+        if stem.isalpha() and (stem.isascii() or max(stem) <= LAST_CUT):
+            ids = self[stem] + self._stem(piece[len(stem) :])
         else:
-            ids = b"".join([self.stems.get(t) or self._stem(t) for t in CUT.findall(text)])
+            text = piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
+            if max(text) > LAST_CUT:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                ids = b"".join(map(self._stem, CUT.findall(text)))
         self[piece] = ids
         return ids
 
     def _stem(self, text: str) -> bytes:
-        letters = text.encode().decode("latin-1").translate(self.letters)
-        ids = self.stems[text] = array("H" if self.kind == "<u2" else "I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if text[0] == " " and text[1:].isalpha():
+            return self[text[1:]]
+        ids = self.stems.get(text)
+        if ids is None:
+            ids = self.stems[text] = self._ids(text)
         return ids
 
+    def _ids(self, text: str) -> bytes:
+        if text.isascii() and text.isprintable():
+            letters = text.replace(" ", self.blank)
+        else:
+            letters = text.encode().decode("latin-1").translate(self.letters)
+        return array("H" if self.kind == "<u2" else "I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, with the pieces between blanks encoded once per worker process.

@@ -443,3 +443,29 @@ def test_no_words_have_no_buckets():
 
     assert list(_by_bucket(np.zeros(0, np.uint64), 4)) == []
     assert [(b, s.start, s.stop) for b, s in _by_bucket(np.array([1, 1 << 63], np.uint64), 1)] == [(0, 0, 1), (1, 1, 2)]
+
+
+def test_words_of_letters_are_not_cut_by_the_pattern(monkeypatch):
+    """Words of letters, with or without marks at their end, are stems as they are; all words have the library's ids."""
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = token_files.Pieces(tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<u2")
+    cut, asked = token_files.CUT, []
+
+    class Pattern:
+        def findall(self, text):
+            asked.append(text)
+            return cut.findall(text)
+
+    monkeypatch.setattr(token_files, "CUT", Pattern())
+    plain = ["word", "word,", "word...", "été", "Straße!?", "ǅungla", "ªº", "x'", "x',", "a_", "***", "-", "'", "x***"]
+    cut_words = ["it's", "we'll,", "'s", "x2", "x²", "½a", "a-b", "2,", "…", "été…", "a\u0301", "мир", "мир,", "漢字.", "\x01a"]
+    for word in plain + cut_words:
+        for piece, text in ((word, " " + word), ("\0" + word, word), ("\n" + word, "\n" + word)):
+            assert np.frombuffer(pieces[piece], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, piece
+    letters = {" " + w for w in plain if any(c.isalpha() for c in w) and w != "a_"}
+    assert letters and not letters & set(asked)
+    for piece in ("", "\0", "\n", "a b", "a\t", "\u00a0"):
+        with pytest.raises(KeyError):
+            pieces[piece]
