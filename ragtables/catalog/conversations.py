@@ -89,7 +89,9 @@ def route_out_of_order_stream(spark, sf):
     from ragtables.streaming.routing import DAY_MS, route_in_order
 
     base = scratch_path(spark, "arrivals")
-    events = view(spark, sf, "v_arriving_events")
+    arriving = view(spark, sf, "v_arriving_events")
+    arriving.write.partitionBy("batch").parquet(f"{base}/batches")  # the table is looked through once, by all tasks
+    events = spark.read.schema(arriving.schema).parquet(f"{base}/batches")
     for batch in range(7):  # one file for each batch of the stream
         events.filter(F.col("batch") == batch).coalesce(1).write.mode("append").parquet(f"{base}/in")
     last = events.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "conversation_id": F.lit(-1).cast("long"),

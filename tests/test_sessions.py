@@ -169,3 +169,38 @@ def test_events_out_of_order_are_routed_as_in_order(spark, tmp_path):
     assert got == want and "late" in got.values() and got[240] == "rejected"
     # One session, one list and one timer each for the conversations that are left.
     assert sum(s["numRowsTotal"] for s in progress["stateOperators"]) <= 40
+
+
+def test_waiting_events_are_kept_packed_by_groups(spark, tmp_path):
+    """The state has rows per group and session, not per event; ids beside missing ones stay exact, names may be ids."""
+    import datetime
+
+    from ragtables.operators.sessions import Session, step
+    from ragtables.streaming.routing import DAY_MS, route_in_order
+
+    start, schema = datetime.datetime(2024, 1, 1), "event_id long, conversation_id string, ts timestamp, organization_id string, actor string, kind string"
+    kinds = [("user", "connect"), ("agent", "connect"), ("user", "message"), ("agent", "typing"), ("user", "disconnect")]
+    first, second = [], []
+    for i in range(600):
+        event = (2**60 + i, f"c{i % 60}", start + datetime.timedelta(minutes=i), None if i % 7 == 0 else "org", *kinds[i // 60 % 5])
+        first.append(event)
+    second = [(None, "c0", start + datetime.timedelta(days=9), "org", "user", "message"), (7, "late", start - datetime.timedelta(days=2), "org", "user", "message"),
+              (8, None, start, "org", "user", "message"), (9, "c1", None, "org", "user", "message")]
+    want, sessions = [(7, "late", "late")], {}
+    for event_id, conversation, _, organization, actor, kind in first:
+        sessions[conversation], route = step(sessions.get(conversation, Session()), actor, kind, organization)
+        want.append((event_id, conversation, route))
+    third = [(10, "c59", start + datetime.timedelta(days=30), "org", "user", "message")]
+    want.append((None, "c0", "rejected"))
+
+    for batch in (first, [*second, (6, "c2", start + datetime.timedelta(days=8), "org", "user", "message")], third):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    want.append((6, "c2", "rejected"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = (route_in_order(stream, DAY_MS, groups=4).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(((r.event_id, r.conversation_id, r.route) for r in rows), key=repr) == sorted(want, key=repr)
+    written = [sum(s["numRowsUpdated"] for s in p["stateOperators"]) for p in query.recentProgress]
+    assert written[0] <= 3 * 4  # packed events, the note and the timer of each group
