@@ -27,3 +27,17 @@ def test_damaged_bytes_never_fail(spark):
     got = told(spark, [None, odd, b"\xff\xfe" + alone, alone, b"\xff\xfe\x00", b"\x00\x00\x00", b"\x81\x8d caf\xe9"])
     assert got[0] == (None, None) and got[-1] == ("windows-1252", "\x81\x8d café")
     assert all(c not in ("UTF-16", "UTF-16LE") and t is not None for c, t in got[1:])
+
+
+def test_files_are_told_apart_once_each(spark, tmp_path):
+    """The encoding is found in one place of the plan; a copy in every branch of the decoding was too much code to compile."""
+    from ragtables.sources.files import read_text_files
+
+    texts = {"a": "héllo".encode(), "b": "héllo wörld".encode("utf-16-le"), "c": "né".encode("latin-1"), "d": "Привет".encode("utf-32")}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    df = read_text_files(spark, str(tmp_path)).select("path", F.length("text").alias("n"), F.sha2("text", 256).alias("hash"))
+    alone = spark.read.format("binaryFile").load(str(tmp_path)).select(detect_encoding(F.col("content")))
+    copies, once = (str(x._jdf.queryExecution().optimizedPlan()).count("hex(content") for x in (df, alone))
+    assert 0 < copies <= once
+    assert {r.path[-1]: r.n for r in df.collect()} == {"a": 5, "b": 11, "c": 2, "d": 6}
