@@ -41,3 +41,13 @@ def test_files_are_told_apart_once_each(spark, tmp_path):
     copies, once = (str(x._jdf.queryExecution().optimizedPlan()).count("hex(content") for x in (df, alone))
     assert 0 < copies <= once
     assert {r.path[-1]: r.n for r in df.collect()} == {"a": 5, "b": 11, "c": 2, "d": 6}
+
+
+def test_a_task_reads_many_small_files(spark, tmp_path):
+    from ragtables.sources.files import read_text_files
+
+    for i in range(400):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    texts = read_text_files(spark, str(tmp_path))
+    assert texts.sparkSession is spark and texts.rdd.getNumPartitions() <= 8  # half of them of the empty table
+    assert sorted(r.text for r in texts.collect()) == sorted(f"text {i}" for i in range(400))
